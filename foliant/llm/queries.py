@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import lookalike, markup, mixing, repetition, scans, truncation
+from foliant.llm import languages, leaks, lookalike, markup, mixing, repetition, scans, truncation
 from foliant.sources.tables import table
 
 ROWS = ("tab", "id", "idx", "source", "label", "text")
@@ -95,6 +95,20 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "form", "changed")
 
 
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark_case").filter("axis = 'long_text'").select("case_id", "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least half of a held-out text, with the cases they hold."""
+    return leaks.leaks(table(spark, d, "documents"), _cases(spark, d)).select("doc_id", "case_id")
+
+
+def p6_cases(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents hold each held-out text, and the largest share found."""
+    return leaks.leaked_cases(table(spark, d, "documents"), _cases(spark, d))
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "source_target"))
 
@@ -114,6 +128,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without the right label or of several languages, a row for each language."""
+    return languages.mislabelled(table(spark, d, "documents"))
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of every document with sentences, share and confidence."""
+    return languages.document_languages(table(spark, d, "documents"))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of every document, each of one language with its confidence."""
+    return languages.segment_languages(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
