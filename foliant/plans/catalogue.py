@@ -2,10 +2,375 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from foliant.functions import text as T
+from foliant.operators import assembly, layout, tables
+from foliant.sources.tables import table
+
+_SPARK: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _SPARK[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _el(s: SparkSession, d: str) -> DataFrame:
+    """Elements; an element delivered twice is one row, since only times of arrival differ."""
+    return table(s, d, "page_element").select("page_id", "elem_idx", "label", *(F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")), "text", "from_band", "volume_id").distinct()
+
+
+def _tr(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "layout").select("page_id", "elem_idx", "label", "raw", "html", "stop").distinct()
+
+
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    return tables.cells(_tr(s, d).filter("label = 'Table'"))
+
+
+def _md(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("md"))
+
+
+EL = "el AS (SELECT DISTINCT page_id, elem_idx, label, box.x0 AS x0, box.y0 AS y0, box.x1 AS x1, box.y1 AS y1, text, from_band, volume_id FROM page_element)"
+TR = "tr AS (SELECT DISTINCT page_id, elem_idx, label, raw, html, stop FROM layout)"
+RE4 = r"(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)"
+PL = rf"""seg AS (SELECT page_id, unnest(string_split(raw, ';')) AS seg, generate_subscripts(string_split(raw, ';'), 1) AS pos FROM layout_string WHERE raw IS NOT NULL),
+pl AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INT) AS elem_idx,
+ trim(regexp_replace(trim(regexp_extract(seg, '(?s)^(.*?){RE4}', 1), E' \t\n\r'), ':+$', ''), E' \t\n\r') AS label,
+ CAST(regexp_extract(seg, '{RE4}', 1) AS DOUBLE) AS x0, CAST(regexp_extract(seg, '{RE4}', 2) AS DOUBLE) AS y0,
+ CAST(regexp_extract(seg, '{RE4}', 3) AS DOUBLE) AS x1, CAST(regexp_extract(seg, '{RE4}', 4) AS DOUBLE) AS y1
+ FROM seg WHERE regexp_matches(seg, '{RE4}'))"""
+
+
+@_query(f"WITH {PL} SELECT * FROM pl")
+def parse_layout(s, d):
+    """Boxes of layout strings."""
+    return layout.parse_layout(table(s, d, "layout_string"))
+
+
+@_query(f"WITH {PL} SELECT page_id, elem_idx, label, x0/1000*width AS x0, y0/1000*height AS y0, x1/1000*width AS x1, y1/1000*height AS y1 FROM pl JOIN page_image USING (page_id)")
+def parse_detections_px(s, d):
+    """Boxes of layout strings in pixels."""
+    return layout.in_pixels(layout.parse_layout(table(s, d, "layout_string")), table(s, d, "page_image"))
+
+
+@_query(f"""WITH {EL}, j AS (SELECT page_id, elem_idx, CASE label WHEN 'Table' THEN 'table' WHEN 'Formula' THEN 'formula' WHEN 'Picture' THEN NULL ELSE 'text' END AS task,
+ greatest(0, CAST(trunc(x0/1000*width) AS INT)-2) AS px0, greatest(0, CAST(trunc(y0/1000*height) AS INT)-2) AS py0, least(width, CAST(trunc(x1/1000*width) AS INT)+2) AS px1, least(height, CAST(trunc(y1/1000*height) AS INT)+2) AS py1
+ FROM el JOIN page_image USING (page_id) WHERE x0 IS NOT NULL)
+SELECT *, CASE task WHEN 'table' THEN 4096 ELSE 2048 END AS budget FROM j WHERE px1-px0 >= 8 AND py1-py0 >= 8 AND task IS NOT NULL""")
+def crop_jobs(s, d):
+    """Crops to read, with task and budget."""
+    return layout.crop_jobs(_el(s, d), table(s, d, "page_image"))
+
+
+@_query("""WITH a AS (SELECT page_id, width AS w, height AS h, CAST(round_even(width/32.0, 0)*32 AS BIGINT) AS w0, CAST(round_even(height/32.0, 0)*32 AS BIGINT) AS h0 FROM page_image),
+b AS (SELECT *, sqrt(CAST(h AS DOUBLE)*w/1048576.0) AS dn, sqrt(65536.0/(CAST(h AS DOUBLE)*w)) AS up FROM a),
+c AS (SELECT page_id, CAST(greatest(32, CASE WHEN h0*w0 > 1048576 THEN floor(h/dn/32)*32 WHEN h0*w0 < 65536 THEN ceil(h*up/32)*32 ELSE h0 END) AS INT) AS rh,
+ CAST(greatest(32, CASE WHEN h0*w0 > 1048576 THEN floor(w/dn/32)*32 WHEN h0*w0 < 65536 THEN ceil(w*up/32)*32 ELSE w0 END) AS INT) AS rw FROM b)
+SELECT page_id, rh, rw, CAST(rh*rw//1024 AS INT) AS image_tokens FROM c""")
+def smart_resize(s, d):
+    """Size and tokens at which each page is read."""
+    return layout.resized(table(s, d, "page_image"))
+
+
+_GAPS = """SELECT {k}, cur AS b0, y0 AS b1 FROM (SELECT {k}, y0, greatest({top}, coalesce(max(y1) OVER (PARTITION BY {k} ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {top})) AS cur FROM sp WHERE y0 IS NOT NULL) WHERE y0 - cur >= {least}
+UNION ALL SELECT {k}, greatest({top}, coalesce(max(y1), {top})) AS b0, {bottom} AS b1 FROM sp GROUP BY {k} HAVING {bottom} - greatest({top}, coalesce(max(y1), {top})) >= {least}"""
+
+
+@_query(f"WITH {EL}, sp AS (SELECT page_id, floor(y0) AS y0, floor(y1) AS y1 FROM el) " + _GAPS.format(k="page_id", top="0.0::DOUBLE", bottom="1000.0::DOUBLE", least=80))
+def uncovered_bands(s, d):
+    """Bands of a page that no element covers."""
+    return layout.bands(_el(s, d))
+
+
+COLS = """n AS (SELECT page_id, count(*) FILTER (WHERE x1-x0 < 600 AND (x0+x1)/2 < 500) AS nl, count(*) FILTER (WHERE x1-x0 < 600 AND (x0+x1)/2 >= 500) AS nr,
+ max(x1) FILTER (WHERE x1-x0 < 600 AND (x0+x1)/2 < 500) AS lx, min(x0) FILTER (WHERE x1-x0 < 600 AND (x0+x1)/2 >= 500) AS rx FROM el GROUP BY page_id),
+m AS (SELECT page_id, CASE WHEN nl < 2 OR nr < 2 THEN NULL WHEN rx > lx THEN (lx+rx)/2 ELSE 500.0 END AS mid FROM n),
+co AS (SELECT page_id, 0 AS col_idx, 0.0::DOUBLE AS cx0, coalesce(mid, 1000.0)::DOUBLE AS cx1 FROM m UNION ALL SELECT page_id, 1, mid::DOUBLE, 1000.0::DOUBLE FROM m WHERE mid IS NOT NULL)"""
+
+
+@_query(f"WITH {EL}, {COLS} SELECT * FROM co")
+def column_spans(s, d):
+    """Columns of every page."""
+    return layout.column_spans(_el(s, d))
+
+
+@_query(f"WITH {EL}, {COLS}, sp AS (SELECT co.page_id, col_idx, y0, y1 FROM co JOIN el ON el.page_id = co.page_id AND (x1-x0 >= 600 OR (x0+x1)/2 BETWEEN cx0 AND cx1) UNION ALL SELECT page_id, col_idx, NULL, NULL FROM co) " + _GAPS.format(k="page_id, col_idx", top="60.0::DOUBLE", bottom="940.0::DOUBLE", least=60))
+def column_bands(s, d):
+    """What each column leaves uncovered."""
+    return layout.column_bands(_el(s, d))
+
+
+@_query(f"""WITH {EL}, {COLS}, o AS (SELECT * FROM el WHERE NOT coalesce(from_band, false)), w AS (SELECT * FROM el WHERE from_band),
+n2 AS (SELECT page_id, count(*) FILTER (WHERE x1-x0 < 600 AND (x0+x1)/2 < 500) AS nl, count(*) FILTER (WHERE x1-x0 < 600 AND (x0+x1)/2 >= 500) AS nr, max(x1) FILTER (WHERE x1-x0 < 600 AND (x0+x1)/2 < 500) AS lx, min(x0) FILTER (WHERE x1-x0 < 600 AND (x0+x1)/2 >= 500) AS rx FROM o GROUP BY page_id),
+m2 AS (SELECT page_id, CASE WHEN nl < 2 OR nr < 2 THEN NULL WHEN rx > lx THEN (lx+rx)/2 ELSE 500.0 END AS mid FROM n2),
+oc AS (SELECT o.page_id, elem_idx, y0, CASE WHEN mid IS NULL OR (x0+x1)/2 <= mid THEN 0 ELSE 1 END AS c FROM o JOIN m2 USING (page_id) WHERE x0 IS NOT NULL),
+wc AS (SELECT w.page_id, elem_idx, y0, CASE WHEN mid IS NULL OR (x0+x1)/2 <= mid THEN 0 ELSE 1 END AS c FROM w JOIN m2 USING (page_id) WHERE x0 IS NOT NULL)
+SELECT wc.page_id, wc.elem_idx AS new_idx, coalesce(min(oc.elem_idx) FILTER (WHERE oc.c > wc.c OR (oc.c = wc.c AND oc.y0 > wc.y0)), -1) AS anchor FROM wc LEFT JOIN oc USING (page_id) GROUP BY 1, 2""")
+def reading_order_insert(s, d):
+    """Where boxes found in bands are read."""
+    e = _el(s, d)
+    return layout.insert_anchors(e.filter("not coalesce(from_band, false)"), e.filter("from_band"))
+
+
+@_query(f"""WITH {EL}, {PL}, j AS (SELECT p.page_id, p.label, p.elem_idx AS pi, g.elem_idx AS gi,
+ greatest(0, least(p.x1,g.x1)-greatest(p.x0,g.x0))*greatest(0, least(p.y1,g.y1)-greatest(p.y0,g.y0)) AS i, greatest(0,p.x1-p.x0)*greatest(0,p.y1-p.y0) AS a, greatest(0,g.x1-g.x0)*greatest(0,g.y1-g.y0) AS b
+ FROM pl p JOIN el g ON p.page_id = g.page_id AND p.label = g.label WHERE g.x0 IS NOT NULL)
+SELECT page_id, label, pi, gi, round(i/(a+b-i), 9) AS iou FROM j WHERE i > 0 AND round(i/(a+b-i), 9) >= 0.5""")
+def iou_candidates(s, d):
+    """Detected and recorded boxes that overlap by half."""
+    return layout.candidates(layout.parse_layout(table(s, d, "layout_string")), _el(s, d))
+
+
+@_query()
+def layout_prf(s, d):
+    """Precision, recall, F1 and reading order of every page."""
+    return layout.layout_scores(layout.parse_layout(table(s, d, "layout_string")), _el(s, d))
+
+
+CELLS = r"""ln AS (SELECT page_id, elem_idx, unnest(string_split(raw, '<nl>')) AS line, generate_subscripts(string_split(raw, '<nl>'), 1) - 1 AS "row" FROM tr WHERE label = 'Table'),
+pt AS (SELECT page_id, elem_idx, "row", string_split_regex(line, '<(fcel|ched|ecel|lcel|ucel|xcel)>') AS t, regexp_extract_all(line, '<(fcel|ched|ecel|lcel|ucel|xcel)>', 1) AS k FROM ln),
+ce AS (SELECT page_id, elem_idx, "row", unnest(k) AS kd, unnest(t[2:]) AS tx, generate_subscripts(k, 1) - 1 AS col FROM pt WHERE len(k) > 0),
+cells AS (SELECT page_id, elem_idx, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, kd[1:1] AS kind, CASE WHEN kd IN ('fcel','ched') THEN trim(replace(replace(replace(replace(replace(tx, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')) ELSE '' END AS text FROM ce)"""
+
+
+@_query(f"WITH {TR}, {CELLS} SELECT * FROM cells")
+def otsl_cells(s, d):
+    """Cells of cell-token strings."""
+    return _grid(s, d)
+
+
+SPANS = """sz AS (SELECT page_id, elem_idx, max(col)+1 AS width, max("row")+1 AS height FROM cells GROUP BY 1, 2),
+fu AS (SELECT page_id, elem_idx, width, height, unnest(range(height)) AS "row" FROM sz), fv AS (SELECT page_id, elem_idx, width, height, "row", unnest(range(width)) AS col FROM fu),
+g AS (SELECT fv.*, coalesce(c.kind, 'e') AS kind, coalesce(c.text, '') AS text FROM fv LEFT JOIN cells c USING (page_id, elem_idx, "row", col)),
+gs AS (SELECT *, coalesce(min(CASE WHEN kind NOT IN ('l','x') THEN col END) OVER (PARTITION BY page_id, elem_idx, "row" ORDER BY col ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), width) AS sc,
+ coalesce(min(CASE WHEN kind NOT IN ('u','x') THEN "row" END) OVER (PARTITION BY page_id, elem_idx, col ORDER BY "row" ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), height) AS sr FROM g),
+sp AS (SELECT page_id, elem_idx, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, kind, text, CAST(sr-"row" AS INT) AS rowspan, CAST(sc-col AS INT) AS colspan FROM gs WHERE kind NOT IN ('l','u','x'))"""
+
+
+@_query(f"WITH {TR}, {CELLS}, {SPANS} SELECT * FROM sp")
+def otsl_spans(s, d):
+    """Origin cells with their spans."""
+    return tables.spans(_grid(s, d))
+
+
+HTML = """hc AS (SELECT page_id, elem_idx, "row", string_agg('<' || CASE kind WHEN 'c' THEN 'th' ELSE 'td' END || CASE WHEN rowspan > 1 THEN ' rowspan="' || rowspan || '"' ELSE '' END || CASE WHEN colspan > 1 THEN ' colspan="' || colspan || '"' ELSE '' END || '>' ||
+ replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</' || CASE kind WHEN 'c' THEN 'th' ELSE 'td' END || '>', '' ORDER BY col) AS r FROM sp GROUP BY 1, 2, 3),
+ht AS (SELECT page_id, elem_idx, '<table>' || string_agg('<tr>' || r || '</tr>', '' ORDER BY "row") || '</table>' AS html FROM hc GROUP BY 1, 2)"""
+
+
+@_query(f"WITH {TR}, {CELLS}, {SPANS}, {HTML} SELECT * FROM ht")
+def otsl_to_html(s, d):
+    """HTML of cell-token strings."""
+    return tables.to_html(tables.spans(_grid(s, d)))
+
+
+VAL = r"""va AS (SELECT page_id, elem_idx, raw, CASE WHEN trim(string_split(raw, '<nl>')[-1]) = '' THEN string_split(raw, '<nl>')[:-2] ELSE string_split(raw, '<nl>') END AS r FROM tr WHERE label = 'Table'),
+vb AS (SELECT *, list_transform(r, lambda x: len(regexp_extract_all(x, '<(?:fcel|ched|ecel|lcel|ucel|xcel)>'))) AS n FROM va),
+vc AS (SELECT *, coalesce(list_sum(n), 0) AS total, n[:-2] AS body, n[-1] AS last FROM vb),
+vd AS (SELECT *, list_sort(list_transform(list_distinct(body), lambda v: {'c': -len(list_filter(body, lambda y: y = v)), 'v': v}))[1] AS best FROM vc),
+ve AS (SELECT page_id, elem_idx, CASE WHEN trim(coalesce(raw, '')) = '' THEN 'empty' WHEN NOT contains(raw, '<nl>') AND len(regexp_extract_all(raw, '<(?:fcel|ched)>')) < 4 THEN 'no_grid' WHEN len(r) = 0 THEN 'no_rows' WHEN total < 4 THEN 'too_few_cells'
+ WHEN len(n) >= 3 AND best.v > 0 AND last < best.v * 0.5 THEN 'truncated' WHEN len(n) >= 3 AND -best.c < 0.6 * len(body) THEN 'row_len_inconsistent' WHEN len(regexp_extract_all(raw, '<(?:fcel|ched|ecel)>')) = 0 THEN 'no_html_cells' ELSE '' END AS reason FROM vd)"""
+
+
+@_query(f"WITH {TR}, {VAL} SELECT page_id, elem_idx, reason = '' AS ok, reason, reason IN ('truncated','row_len_inconsistent','no_html_cells','empty') AS hard FROM ve")
+def validate_tables(s, d):
+    """Whether recorded tables are sound."""
+    return tables.validate(_tr(s, d).filter("label = 'Table'"))
+
+
+@_query(f"WITH {TR}, {VAL} SELECT reason, count(*) AS tables FROM ve GROUP BY 1")
+def failure_histogram(s, d):
+    """Tables by the reason of their failure."""
+    return validate_tables(s, d).groupBy("reason").agg(F.count("*").alias("tables"))
+
+
+@_query()
+def html_to_otsl(s, d):
+    """Cell-token strings of HTML tables."""
+    return tables.tokens_of(_tr(s, d).filter("html is not null"))
+
+
+@_query()
+def teds(s, d):
+    """Similarity of the stored HTML with the HTML of the cell tokens."""
+    gold = otsl_to_html(s, d).withColumnRenamed("html", "gold")
+    return tables.table_similarity(_tr(s, d).filter("html is not null").select("page_id", "elem_idx", F.col("html").alias("pred")).join(gold, ["page_id", "elem_idx"]))
+
+
+@_query(r"""SELECT doc_id AS page_id, CAST(generate_subscripts(b, 1) - 1 AS INT) AS block_idx, unnest(b) AS block FROM (SELECT doc_id, list_filter(list_transform(string_split(text, E'\n\n'), lambda x: trim(x)), lambda x: length(x) > 0) AS b FROM documents)""")
+def md_blocks(s, d):
+    """Blocks of texts."""
+    return _md(s, d).select("page_id", F.posexplode(T.blocks(F.col("md"))).alias("block_idx", "block"))
+
+
+@_query(r"""WITH b AS (SELECT doc_id AS page_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) - 1 AS pos FROM documents)
+SELECT page_id, CAST(pos AS INT) AS pos FROM b WHERE regexp_matches(trim(line), '^[\s\-–—|]*(?:[0-9]{1,4}|[ivxlcIVXLC]{1,6}|-\s*\d+\s*-)[\s\-–—|]*$')""")
+def page_numbers(s, d):
+    """Lines that are page numbers."""
+    return _md(s, d).select("page_id", F.posexplode(F.split("md", "\n")).alias("pos", "line")).filter(T.is_page_number(F.col("line"))).select("page_id", "pos")
+
+
+@_query(r"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '^[#>*\-\s|:]+|[*_`]+', '', 'g'), '\s+', '', 'g'))) AS key FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')")
+def norm_text(s, d):
+    """Comparison keys of texts in ASCII."""
+    return table(s, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.md5(T.plain_key(F.col("text"))).alias("key"))
+
+
+@_query()
+def latex_canonical(s, d):
+    """One form of every formula."""
+    return _tr(s, d).filter("label = 'Formula'").select("page_id", "elem_idx", T.formula_key(F.col("raw")).alias("formula"))
+
+
+@_query(f"""WITH {EL}, {TR}, p AS (SELECT el.page_id, el.elem_idx, trim(regexp_replace(el.text, '\\s+', ' ', 'g')) AS a, trim(regexp_replace(tr.raw, '\\s+', ' ', 'g')) AS b FROM el JOIN tr USING (page_id, elem_idx) WHERE el.text IS NOT NULL AND regexp_matches(el.text || tr.raw, '^[\\x00-\\x7F]*$'))
+SELECT page_id, elem_idx, levenshtein(a[1:4000], b[1:4000])::DOUBLE / greatest(length(a[1:4000]), length(b[1:4000]), 1) AS ned FROM p""")
+def ned_pairs(s, d):
+    """Edit distance of element texts and their traces, in ASCII."""
+    j = _el(s, d).filter("text is not null").join(_tr(s, d).select("page_id", "elem_idx", "raw"), ["page_id", "elem_idx"])
+    return j.filter(F.concat("text", "raw").rlike(r"^[\x00-\x7F]*$")).select("page_id", "elem_idx", T.edit_share(F.col("text"), F.col("raw")).alias("ned"))
+
+
+MD = """rd AS (SELECT el.page_id, el.elem_idx, el.label, coalesce(el.text, t.raw, '') AS text FROM el LEFT JOIN (SELECT page_id, elem_idx, min(raw) AS raw FROM tr GROUP BY 1, 2) t USING (page_id, elem_idx)),
+mp AS (SELECT page_id, elem_idx, CASE label WHEN 'Picture' THEN '![Picture]()' WHEN 'Table' THEN coalesce(html, '') WHEN 'Formula' THEN E'$$\\n' || trim(text) || E'\\n$$' WHEN 'Caption' THEN '*' || trim(text) || '*' WHEN 'Title' THEN '# ' || trim(text)
+ WHEN 'Section-header' THEN '## ' || trim(text) WHEN 'List-item' THEN '- ' || trim(text) ELSE trim(text) END AS part FROM rd LEFT JOIN ht USING (page_id, elem_idx) WHERE label NOT IN ('Page-header', 'Page-footer')),
+md AS (SELECT page_id, string_agg(part, E'\\n\\n' ORDER BY elem_idx, part) AS md FROM mp WHERE trim(part) <> '' GROUP BY 1)"""
+
+
+@_query(f"WITH {EL}, {TR}, {CELLS}, {SPANS}, {HTML}, {MD} SELECT * FROM md")
+def to_markdown(s, d):
+    """Every page as Markdown (flagship)."""
+    return assembly.to_markdown(_el(s, d), _tr(s, d))
+
+
+KEY = r"lower(regexp_replace(regexp_replace(text, '^[#>*\-\s|:]+|[*_`]+', '', 'g'), '\s+', '', 'g'))"
+
+
+@_query()
+def furniture(s, d):
+    """Elements of the body that repeat the header or footer of their page."""
+    return assembly.furniture_overlap(_el(s, d))
+
+
+@_query()
+def body_fill(s, d):
+    """How much of the body each page's Markdown lacks."""
+    e = _el(s, d)
+    kept = e.filter("not coalesce(from_band, false)")
+    return assembly.body_fill(e, assembly.to_markdown(kept, _tr(s, d)))
+
+
+@_query()
+def table_ranks(s, d):
+    """Unsound tables and the table blocks that replace them."""
+    return assembly.table_ranks(_el(s, d), _tr(s, d), to_markdown(s, d))
+
+
+@_query(f"""WITH {EL}, {TR}, b AS (SELECT page_id, elem_idx, text, lower(regexp_replace(regexp_replace(text, '[#*`>\\-|]', '', 'g'), '\\s+', '', 'g')) AS k FROM el WHERE text IS NOT NULL),
+c AS (SELECT page_id, lower(regexp_replace(regexp_replace(raw, '[#*`>\\-|]', '', 'g'), '\\s+', '', 'g')) AS k FROM tr WHERE label NOT IN ('Table', 'Formula'))
+SELECT DISTINCT page_id, text AS block FROM b WHERE length(k) > 12 AND regexp_matches(text, '^[\\x00-\\x7F]*$') AND NOT EXISTS (SELECT 1 FROM c WHERE c.page_id = b.page_id AND c.k = b.k)""")
+def block_diff(s, d):
+    """Texts of elements, in ASCII, that no trace of their page has."""
+    a = _el(s, d).filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("page_id", F.col("text").alias("block")).distinct()
+    b = _tr(s, d).filter("label not in ('Table', 'Formula')").select("page_id", F.col("raw").alias("block"))
+    return assembly.only_in_first(a, b)
+
+
+@_query(f"""WITH {EL}, {TR}, m AS (SELECT e.page_id, e.elem_idx AS pos, CASE WHEN t.elem_idx IS NULL THEN NULL ELSE e.elem_idx END AS idx FROM (SELECT DISTINCT page_id, elem_idx FROM el) e LEFT JOIN (SELECT DISTINCT page_id, elem_idx FROM tr) t USING (page_id, elem_idx)),
+w AS (SELECT *, max(idx) OVER a AS prev, min(idx) OVER z AS nxt, count(idx) OVER a AS run FROM m WINDOW a AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING), z AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+v AS (SELECT *, count(*) OVER (PARTITION BY page_id, run, idx IS NULL) AS n, row_number() OVER (PARTITION BY page_id, run, idx IS NULL ORDER BY pos) AS k FROM w)
+SELECT page_id, pos, CAST(CASE WHEN idx IS NULL AND nxt - prev - 1 = n THEN prev + k ELSE idx END AS INT) AS idx FROM v""")
+def match_gap_fill(s, d):
+    """Elements without a trace, filled where they fit between their neighbours."""
+    t = _tr(s, d).select("page_id", "elem_idx").distinct().withColumn("idx", F.col("elem_idx"))
+    return assembly.gap_fill(_el(s, d).select("page_id", "elem_idx").distinct().join(t, ["page_id", "elem_idx"], "left").select("page_id", F.col("elem_idx").alias("pos"), "idx"))
+
+
+@_query("SELECT page_id FROM page_image WHERE page_id NOT IN (SELECT page_id FROM layout)")
+def resume_pending(s, d):
+    """Pages without a recorded trace."""
+    return assembly.pending(table(s, d, "page_image").select("page_id"), table(s, d, "layout"))
+
+
+@_query("SELECT page_id, CAST((row_number() OVER (ORDER BY path) - 1) % 7 AS INT) AS shard FROM page_image")
+def shard_pages(s, d):
+    """Pages dealt to seven shards by path."""
+    return assembly.sharded(table(s, d, "page_image"), 7)
+
+
+@_query("SELECT DISTINCT page_id, elem_idx, md5(raw)[1:12] AS md5, CAST(length(raw) AS INT) AS chars, rtrim(raw) LIKE '%<nl>' AS ends_row FROM layout")
+def trace_capture(s, d):
+    """What a run keeps of each reading."""
+    return assembly.trace_facts(table(s, d, "layout"))
+
+
+@_query("SELECT page_id, elem_idx, raw_md5 FROM (SELECT DISTINCT page_id, elem_idx, raw_md5, raw FROM layout) WHERE raw_md5 <> md5(raw)[1:12]")
+def trace_mismatch(s, d):
+    """Traces whose stored hash is not that of their text."""
+    return table(s, d, "layout").filter(F.col("raw_md5") != F.substring(F.md5("raw"), 1, 12)).select("page_id", "elem_idx", "raw_md5").distinct()
+
+
+@_query()
+def replay(s, d):
+    """Readings of all crop jobs from the recorded traces."""
+    return assembly.replay(crop_jobs(s, d), _tr(s, d))
+
+
+@_query("""WITH t AS (SELECT DISTINCT page_id, elem_idx, raw FROM layout), p AS (SELECT t.*, unnest(range(1, 33)) AS p FROM t)
+SELECT page_id, elem_idx, CAST(min(p) AS INT) AS period FROM p WHERE length(raw) >= p*8 AND right(raw, p*8) = repeat(right(raw, p), 8) GROUP BY 1, 2""")
+def cycle_detect(s, d):
+    """Readings that end in eight copies of a short period."""
+    return table(s, d, "layout").select("page_id", "elem_idx", "raw").distinct().select("page_id", "elem_idx", T.cycle_period(F.col("raw")).alias("period")).filter("period is not null")
+
+
+@_query(r"""WITH l AS (SELECT doc_id AS page_id, list_filter(string_split(text, E'\n'), lambda x: trim(x) <> '') AS ls FROM documents), u AS (SELECT page_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos, len(ls) AS n FROM l)
+SELECT page_id, CAST(pos AS INT) AS pos, line FROM u WHERE (pos < 6 OR pos >= n - 6) AND NOT contains(line, '|') AND regexp_matches(trim(line), '^[\s\-–—|]*(?:[0-9]{1,4}|[ivxlcIVXLC]{1,6}|-\s*\d+\s*-)[\s\-–—|]*$')""")
+def edge_line_filter(s, d):
+    """Page numbers among the outer lines of texts."""
+    return assembly.edge_lines(_md(s, d))
+
+
+@_query(f"WITH {TR}, {CELLS} SELECT page_id, elem_idx, \"row\", CAST(coalesce(min(CASE WHEN regexp_matches(text, '^[0-9][0-9.,%\\s]*$') THEN col END), count(*)) AS INT) AS headers FROM cells GROUP BY 1, 2, 3")
+def header_promotion(s, d):
+    """Leading heading cells of every table row."""
+    return assembly.leading_headers(_grid(s, d))
+
+
+@_query("""WITH h AS (SELECT case_id, axis, EXISTS (SELECT 1 FROM documents WHERE contains(regexp_replace(documents.text, '\\s+', '', 'g'), regexp_replace(c.text, '\\s+', '', 'g'))) AS found FROM benchmark_case c WHERE axis = 'header_footer')
+SELECT axis, count(*) AS cases, count(*) FILTER (WHERE found) AS found FROM h GROUP BY 1""")
+def presence_tests(s, d):
+    """Header cases that stand, without white space, in some document; the cases are a fixed set of 240 rows."""
+    cases = table(s, d, "benchmark_case").filter("axis = 'header_footer'").select("case_id", "axis", T.squash(F.col("text")).alias("k"))
+    docs = table(s, d, "documents").select(T.squash(F.col("text")).alias("t"))
+    hit = docs.join(F.broadcast(cases), F.contains("t", F.col("k"))).select("case_id").distinct().withColumn("hit", F.lit(True))
+    return cases.join(hit, "case_id", "left").groupBy("axis").agg(F.count("*").alias("cases"), F.count("hit").alias("found"))
+
+
+@_query("SELECT source, sum(n_chars) AS chars, sum(n_chars)::DOUBLE / (SELECT sum(n_chars) FROM documents) AS share FROM documents GROUP BY 1")
+def token_share(s, d):
+    """Shares of the sources by characters, not by records."""
+    g = table(s, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("chars"))
+    return g.join(F.broadcast(g.agg(F.sum("chars").alias("a"))), how="cross").select("source", "chars", (F.col("chars") / F.col("a")).alias("share"))
+
+
+@_query(f"WITH {TR} SELECT tag, count(*) AS tags FROM (SELECT unnest(regexp_extract_all(raw, '<(fcel|ched|ecel|lcel|ucel|xcel|nl)>', 1)) AS tag FROM tr WHERE label = 'Table') GROUP BY 1")
+def tag_counts(s, d):
+    """Cell tokens by kind."""
+    t = _tr(s, d).filter("label = 'Table'").select(F.explode(F.regexp_extract_all("raw", F.lit("<(fcel|ched|ecel|lcel|ucel|xcel|nl)>"), F.lit(1))).alias("tag"))
+    return t.groupBy("tag").agg(F.count("*").alias("tags"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_SPARK)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
