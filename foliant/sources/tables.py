@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,12 +31,17 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, with the lineage cut.
+    """The rows, written once as a table in the shared checkpoint folder, with the lineage cut.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
     tests on one machine, a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+    spark = df.sparkSession
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = tempfile.mkdtemp()
+        spark.sparkContext.setCheckpointDir(base)
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
