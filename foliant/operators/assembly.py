@@ -141,3 +141,65 @@ def leading_headers(grid: DataFrame) -> DataFrame:
     """``(page_id, elem_idx, row, headers)``: the cells before the first number of a row, which are its heading."""
     number = F.col("text").rlike(r"^[0-9][0-9.,%\s]*$")
     return grid.groupBy("page_id", "elem_idx", "row").agg(F.coalesce(F.min(F.when(number, F.col("col"))), F.count("*")).cast("int").alias("headers"))
+
+
+def merged_pages(elements: DataFrame, traces: DataFrame, pages: DataFrame, place: str = "replace", least: int = 8, width: int = 1400, height: int = 1980) -> DataFrame:
+    """``(page_id, md, by_block, appended)``: the page's text with the tables of its elements.
+
+    Furniture blocks leave the text. With ``replace`` the k-th usable table, from top to bottom, takes the
+    place of the k-th table block; all others, or with ``append`` all, follow at the end. A table is usable
+    unless it is tiny, empty or failed softly.
+    """
+    t = traces.filter("label = 'Table'").groupBy("page_id", "elem_idx").agg(F.min("raw").alias("raw"))
+    v = tables.validate(t).filter("(ok or hard) and reason <> 'empty'").select("page_id", "elem_idx")
+    big = ((F.col("x1") - F.col("x0")) / 1000 * width >= least) & ((F.col("y1") - F.col("y0")) / 1000 * height >= least)
+    e = elements.filter("label = 'Table'").filter(big).select("page_id", "elem_idx", "y0").distinct()
+    use = e.join(v, ["page_id", "elem_idx"]).join(tables.to_html(tables.spans(tables.cells(t))), ["page_id", "elem_idx"])
+    use = use.withColumn("k", F.row_number().over(W.partitionBy("page_id").orderBy("y0", "elem_idx"))).select("page_id", "k", "html")
+
+    b = pages.select("page_id", F.posexplode(T.blocks(F.col("md"))).alias("pos", "block"))
+    hf = elements.filter(F.col("label").isin(*FURNITURE)).select("page_id", T.plain_key(F.col("text")).alias("h")).filter(F.length("h") >= 4).groupBy("page_id").agg(F.collect_set("h").alias("hs"))
+    b = b.join(hf, "page_id", "left").withColumn("nb", T.plain_key(F.col("block"))).withColumn("last", F.max("pos").over(W.partitionBy("page_id")))
+    repeats = F.exists(F.coalesce("hs", F.array().cast("array<string>")), lambda h: (F.length("nb") > 0) & (F.length("nb") <= 1.6 * F.length(h)) & ((T.overlap(h, F.col("nb")) >= 0.6) | F.contains(F.col("nb"), h)))
+    edge = ((F.col("pos") == 0) | (F.col("pos") == F.col("last"))) & T.is_page_number(F.col("block"))
+    b = b.filter(~repeats & ~edge).select("page_id", "pos", "block", T.looks_like_table(F.col("block")).alias("is_table"))
+    b = b.withColumn("k", F.when(F.col("is_table") & F.lit(place == "replace"), F.row_number().over(W.partitionBy("page_id", "is_table").orderBy("pos"))))
+
+    j = b.join(use, ["page_id", "k"], "full")
+    order = F.struct(F.when(F.col("pos").isNull(), 1).otherwise(0).alias("end"), F.coalesce("pos", "k").alias("at"), F.coalesce("html", "block").alias("part"))
+    g = j.groupBy("page_id").agg(F.array_sort(F.collect_list(order)).alias("parts"), F.count_if(F.col("html").isNotNull() & F.col("pos").isNotNull()).alias("by_block"), F.count_if(F.col("html").isNotNull() & F.col("pos").isNull()).alias("appended"))
+    return g.select("page_id", F.array_join(F.transform("parts", lambda x: x.part), "\n\n").alias("md"), "by_block", "appended")
+
+
+def filled_bands(elements: DataFrame, pages: DataFrame, known: float = 0.75) -> DataFrame:
+    """``(page_id, b0, block)``: the k-th uncovered band of a page takes the k-th block of its text that is new.
+
+    A block is new if under ``known`` of its 3-grams stand in the text of the page's elements; tables are not.
+    """
+    all_ = elements.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("elem_idx", T.text_of(F.col("text")).alias("t")))), lambda x: x.t), " ").alias("all"))
+    b = pages.select("page_id", F.posexplode(T.blocks(F.col("md"))).alias("pos", "block")).filter(~T.looks_like_table(F.col("block")))
+    b = b.join(all_, "page_id").filter(T.overlap(T.plain_key(F.col("block")), T.plain_key(F.col("all"))) < known)
+    b = b.withColumn("k", F.row_number().over(W.partitionBy("page_id").orderBy("pos"))).select("page_id", "k", "block")
+    gaps = layout.bands(elements).withColumn("k", F.row_number().over(W.partitionBy("page_id").orderBy("b0")))
+    return gaps.join(b, ["page_id", "k"]).select("page_id", "b0", "block")
+
+
+def bootstrap(scores: DataFrame, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """``(mean, low, high)``: mean of ``score`` over pages with a 95 % interval.
+
+    Each page is drawn a Poisson number of times in each replicate, from a hash of page, replicate and
+    seed: sums are built where the pages lie, ``replicates`` rows are shuffled.
+    """
+    u = (F.pmod(F.xxhash64("page_id", "rep", F.lit(seed)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    w = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
+    r = scores.select("page_id", "score", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("w", w)
+    m = r.groupBy("rep").agg((F.sum(F.col("score") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"), F.avg("score").alias("plain"))
+    return m.agg(F.first("plain").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def churn(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(lost, gained, kept)``: keys ``(page_id, elem_idx)`` that only the earlier, only the later or both runs pass."""
+    a = before.select("page_id", "elem_idx").distinct().withColumn("a", F.lit(True))
+    b = after.select("page_id", "elem_idx").distinct().withColumn("b", F.lit(True))
+    j = a.join(b, ["page_id", "elem_idx"], "full")
+    return j.agg(F.count_if(F.col("b").isNull()).alias("lost"), F.count_if(F.col("a").isNull()).alias("gained"), F.count_if(F.col("a") & F.col("b")).alias("kept"))

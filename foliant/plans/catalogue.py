@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from foliant.functions import text as T
 from foliant.operators import assembly, layout, tables
@@ -358,7 +358,8 @@ def presence_tests(s, d):
 def token_share(s, d):
     """Shares of the sources by characters, not by records."""
     g = table(s, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("chars"))
-    return g.join(F.broadcast(g.agg(F.sum("chars").alias("a"))), how="cross").select("source", "chars", (F.col("chars") / F.col("a")).alias("share"))
+    all_ = F.sum("chars").over(W.partitionBy(F.lit(0)))  # over a row for each source
+    return g.select("source", "chars", (F.col("chars") / all_).alias("share"))
 
 
 @_query(f"WITH {TR} SELECT tag, count(*) AS tags FROM (SELECT unnest(regexp_extract_all(raw, '<(fcel|ched|ecel|lcel|ucel|xcel|nl)>', 1)) AS tag FROM tr WHERE label = 'Table') GROUP BY 1")
@@ -368,6 +369,60 @@ def tag_counts(s, d):
     return t.groupBy("tag").agg(F.count("*").alias("tags"))
 
 
+def _page_text(s: SparkSession, d: str) -> DataFrame:
+    """A reading of whole pages: the elements of a page that were not found in bands, furniture included."""
+    e = _el(s, d).filter("text is not null and not coalesce(from_band, false)").select("page_id", "elem_idx", "text")
+    return e.groupBy("page_id").agg(assembly.ordered("text").alias("md"))
+
+
+@_query()
+def merge_page_append(s, d):
+    """Texts of pages with their tables at the end."""
+    return assembly.merged_pages(_el(s, d), _tr(s, d), _page_text(s, d), "append")
+
+
+@_query()
+def merge_page_replace(s, d):
+    """Texts of pages with their tables in place of table blocks."""
+    return assembly.merged_pages(_el(s, d), _tr(s, d), to_markdown(s, d), "replace")
+
+
+@_query()
+def merge_hybrid_bands(s, d):
+    """Uncovered bands filled with new blocks of the page's text."""
+    kept = _el(s, d).filter("not coalesce(from_band, false)")
+    return assembly.filled_bands(kept, to_markdown(s, d))
+
+
+@_query()
+def bootstrap_ci(s, d):
+    """Mean F1 of the layouts with a 95 % interval."""
+    return assembly.bootstrap(layout_prf(s, d).select("page_id", F.col("f1").alias("score")))
+
+
+@_query(f"""WITH {TR}, {VAL}, a AS (SELECT page_id, elem_idx FROM ve WHERE reason = ''), b AS (SELECT DISTINCT page_id, elem_idx FROM tr WHERE html LIKE '%</table>')
+SELECT count(*) FILTER (WHERE b.page_id IS NULL) AS lost, count(*) FILTER (WHERE a.page_id IS NULL) AS gained, count(*) FILTER (WHERE a.page_id IS NOT NULL AND b.page_id IS NOT NULL) AS kept FROM a FULL JOIN b USING (page_id, elem_idx)""")
+def churn(s, d):
+    """Tables sound as tokens against tables complete as HTML."""
+    return assembly.churn(validate_tables(s, d).filter("ok"), _tr(s, d).filter("html like '%</table>'"))
+
+
+@_query("WITH c AS (SELECT source, lang, avg(n_chars) AS m FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2) SELECT source, avg(m) AS category_mean FROM c GROUP BY 1")
+def category_mean(s, d):
+    """Mean length of a source's texts over its labels, each label counting alike."""
+    g = table(s, d, "documents").filter("lang is not null").groupBy("source", "lang").agg(F.avg("n_chars").alias("m"))
+    return g.groupBy("source").agg(F.avg("m").alias("category_mean"))
+
+
+@_query("SELECT p.source, count(*) AS pages, count(l.page_id) AS parsed, count(t.page_id) AS traced FROM page_image p LEFT JOIN (SELECT DISTINCT page_id FROM layout_string WHERE raw IS NOT NULL) l USING (page_id) LEFT JOIN (SELECT DISTINCT page_id FROM layout) t ON t.page_id = p.page_id AND l.page_id IS NOT NULL GROUP BY 1")
+def survival_funnel(s, d):
+    """Pages of each source that have a layout string, and of these a trace."""
+    l = table(s, d, "layout_string").filter("raw is not null").select("page_id").distinct().withColumn("l", F.lit(True))
+    t = table(s, d, "layout").select("page_id").distinct().withColumn("t", F.lit(True))
+    j = table(s, d, "page_image").join(l, "page_id", "left").join(t, "page_id", "left")
+    return j.groupBy("source").agg(F.count("*").alias("pages"), F.count("l").alias("parsed"), F.count_if(F.col("l") & F.col("t")).alias("traced"))
+
+
 def queries() -> dict:
     return dict(_SPARK)
 

@@ -104,3 +104,14 @@ def test_sql(spark, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted(tuple(_norm(row[names.index(c)]) for c in sorted(names)) for row in r.fetchall())
     assert sorted(tuple(_norm(row[c]) for c in sorted(names)) for row in df.collect()) == want
+
+
+def test_stream_takes_each_element_once(spark, tmp_path):
+    from foliant.streaming.ingest import ingest
+
+    src, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
+    rows = "select 1L page_id, {i} elem_idx, 'a' text, timestamp'2024-01-0{i} 00:00:00' arrived_at"
+    for k in (1, 2, 1):
+        spark.sql(rows.format(i=k)).coalesce(1).write.mode("append").parquet(src)
+        ingest(spark, src, spark.read.parquet(src).schema, out, at)
+    assert sorted(r.elem_idx for r in spark.read.parquet(out).collect()) == [1, 2]
