@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from foliant.llm.common import map_batches, texts
+from foliant.sources.tables import checkpointed
 
 MEASURES = ("chars", "utf8", "utf16", "entities", "json", "crlf")
 
@@ -178,8 +179,8 @@ def truncated(rows: DataFrame) -> DataFrame:
     case; a repeated row counts once; a null source counts as "".
     """
     rows = rows.select("tab", F.col("id").cast("bigint").alias("id"), F.col("idx").cast("int").alias("idx"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text").filter("length(text) > 0")
-    measured = lengths(rows)
-    edge = at_limits(measured.drop("text"), limits(measured.drop("text")))
+    measured = checkpointed(lengths(rows).drop("text"))  # read twice
+    edge = at_limits(measured, limits(measured))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         at, codes, keys = [], [], []
@@ -199,7 +200,7 @@ def truncated(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(c).take(pick) for c in ("tab", "id", "idx", "source")] + [pa.array(codes, pa.int32())] + [pa.array(x, pa.int64()) for x in zip(*keys)], ["tab", "id", "idx", "source", "code", "L", "F", "O", "E", "S"])
 
     ends = map_batches(rows, run, "tab string, id bigint, idx int, source string, code int, L bigint, F bigint, O bigint, E bigint, S bigint").distinct()
-    counts = line_counts(rows.filter("tab <> 'layout'"))
+    counts = checkpointed(line_counts(rows.filter("tab <> 'layout'")))  # read twice
     lines = ends.filter(F.col("code") == LINE)
     long = lines.selectExpr("tab", "id", "idx", "stack(5, 'L', L, 'F', F, 'O', O, 'E', E, 'S', S) as (kind, key)").filter("key is not null").join(counts, "key")
     use = long.groupBy("tab", "id", "idx").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias("n" + k) for k in "LFOES"))
