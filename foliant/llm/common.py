@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from foliant.sources.ship import ship
@@ -14,13 +15,32 @@ from foliant.sources.ship import ship
 LANGS = ("en", "ko", "de", "fr", "es", "pt", "ja", "ru")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Rows of ``fn`` over each Arrow batch; ``fn`` sees only the columns of ``df``."""
+#: Characters of text that are worked on at once; a longer text is worked on alone.
+CHARS = 16_000_000
+
+
+def slices(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of at most ``chars`` characters in the column ``text``, or of one row."""
+    if "text" not in batch.schema.names:
+        yield batch
+        return
+    n = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(batch.column("text")), 0), dtype=np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = n[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(n, before + chars, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, chars: int = CHARS) -> DataFrame:
+    """Rows of ``fn`` over each Arrow batch, cut to ``chars`` characters; ``fn`` sees only the columns of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := fn(b)) is not None and out.num_rows:
-                yield out
+        for whole in batches:
+            for b in slices(whole, chars):
+                if b.num_rows and (out := fn(b)) is not None and out.num_rows:
+                    yield out
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

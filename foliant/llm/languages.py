@@ -198,7 +198,7 @@ def document_languages(docs: DataFrame, id_col: str = "doc_id", label_col: str =
         return pa.RecordBatch.from_arrays([b.column("id").take(pick), b.column("label").take(pick), pa.array(names, pa.string()), pa.array(count, pa.int32()), pa.array(share, pa.float64()), pa.array(conf, pa.float64()), pa.array(main)], ["doc_id", "label", "lang", "sentences", "share", "confidence", "main"])
 
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    return map_batches(d, run, "doc_id bigint, label string, lang string, sentences int, share double, confidence double, main boolean")
+    return map_batches(d, run, "doc_id bigint, label string, lang string, sentences int, share double, confidence double, main boolean", chars=3_000_000)
 
 
 def segment_languages(docs: DataFrame, id_col: str = "doc_id", label_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -227,7 +227,7 @@ def segment_languages(docs: DataFrame, id_col: str = "doc_id", label_col: str =
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array([a / n for a, n in zip(cols[3], cols[6])], pa.float64()), pa.array([" ".join(x.split()) for x in cols[4]], pa.string())], ["doc_id", "seg_idx", "lang", "confidence", "segment"])
 
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return map_batches(d, run, "doc_id bigint, seg_idx int, lang string, confidence double, segment string")
+    return map_batches(d, run, "doc_id bigint, seg_idx int, lang string, confidence double, segment string", chars=3_000_000)
 
 
 def mislabelled(docs: DataFrame, id_col: str = "doc_id", label_col: str = "lang", text_col: str = "text") -> DataFrame:
