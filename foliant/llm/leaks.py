@@ -82,6 +82,18 @@ def alike(a: str, b: str) -> bool:
     if abs(n - m) > 2 or min(n, m) < 3:
         return False
     limit = 1 if max(n, m) <= 5 else 2 if max(n, m) <= 9 else 3
+    i = 0
+    while i < n and i < m and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < min(n, m) - i and a[n - 1 - j] == b[m - 1 - j]:
+        j += 1
+    a, b = a[i : n - j], b[i : m - j]  # what lies between the first and the last difference
+    n, m = len(a), len(b)
+    if max(n, m) <= limit:
+        return True
+    if i + j == 0:
+        return False
     prev = list(range(m + 1))
     for i in range(1, n + 1):
         cur = [i] + [0] * m
@@ -162,8 +174,11 @@ class Cases:
         for shift in (0, BAND // 2):
             band = (diagonal + shift) // BAND
             # a q-gram of the case counts once in a band
-            key = np.unique((pair << 34) + (band << 14) + np.minimum(pos, (1 << 14) - 1))
-            group, count = np.unique(key >> 14, return_counts=True)
+            key = np.sort((pair << 34) + (band << 14) + np.minimum(pos, (1 << 14) - 1))
+            group = key[np.concatenate([[True], key[1:] != key[:-1]])] >> 14
+            begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            count = np.diff(np.concatenate([begin, [len(group)]]))
+            group = group[begin]
             good = count >= self.need[(group >> 20) % len(self.ids)]
             group = group[good]
             found.append(np.stack([group >> 20, (group & ((1 << 20) - 1)) * BAND - shift - back]))
@@ -278,7 +293,7 @@ def leaks(docs: DataFrame, cases: DataFrame, share: float = 0.5, id_col: str = "
         return pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int32())), pa.array(ids, pa.int64()), pa.array(held, pa.int32()), pa.array(part, pa.float64())], ["doc_id", "case_id", "held", "share"])
 
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return map_batches(d, run, "doc_id bigint, case_id bigint, held int, share double").groupBy("doc_id", "case_id").agg(F.max("held").alias("held"), F.max("share").alias("share"))
+    return map_batches(d, run, "doc_id bigint, case_id bigint, held int, share double", chars=3_000_000).groupBy("doc_id", "case_id").agg(F.max("held").alias("held"), F.max("share").alias("share"))
 
 
 def leaked_cases(docs: DataFrame, cases: DataFrame) -> DataFrame:
