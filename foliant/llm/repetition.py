@@ -4,7 +4,9 @@ A modified Kneser-Ney model of word trigrams is counted in Spark over all texts
 arrays of n-gram hashes. Each text is scored twice: under the model, and under the model mixed with a
 model of the text's own words so far. What a text repeats is cheap under its own history, so its second
 perplexity falls; language-specific bands of perplexity, taken from all texts, reject the texts outside.
-The repeated share of rejected texts is then measured exactly on their characters.
+A text that the corpus model already predicts, as that of many copies, gains nothing by its history, so a
+text is also rejected by how many of its trigrams it has had before. Copies of a text count once in the
+model and in the bands. The repeated share of every text is measured exactly on its characters.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.llm.common import map_batches, mix, texts
+from foliant.llm.common import map_batches, mix, texts, without_copies
 from foliant.sources.tables import checkpointed
 
 _OTSL = re.compile(r"<(?:fcel|ched|ecel|lcel|ucel|xcel)>")
@@ -208,19 +210,20 @@ def _earlier(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def bits(model: KneserNey, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Tokens of each text, its bits under the model and with its own history, and its language."""
+def bits(model: KneserNey, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Tokens of each text, its bits under the model and with its own history, how many of its trigrams
+    stand in it before, and its language."""
     n = len(strings)
     h, own, langs = encoded(strings)
     if len(h) < 3:
-        return np.zeros(n), np.zeros(n), np.zeros(n), langs
+        return np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), langs
     abc, ab, bc, b, c, of = grams(h, own)
     p = model.probability(abc, ab, bc, b, c).astype(np.float64)
     doc = mix(of.astype(np.uint64) + np.uint64(1)) * _M2
     r3, r2 = _earlier(abc ^ doc), _earlier(ab ^ doc)
     own_weight = r2 / (r2 + 1.0)  # nothing where the text has no such words so far
     q = (1 - own_weight) * p + own_weight * r3 / np.maximum(r2, 1)
-    return np.bincount(of, minlength=n), np.bincount(of, -np.log2(p), n), np.bincount(of, -np.log2(np.clip(q, 1e-12, 1)), n), langs
+    return np.bincount(of, minlength=n), np.bincount(of, -np.log2(p), n), np.bincount(of, -np.log2(np.clip(q, 1e-12, 1)), n), np.bincount(of, r3 > 0, n), langs
 
 
 def repeated_share(text: str, least_unit: int = 8, repeats: int = 3) -> float:
@@ -256,34 +259,37 @@ def repeated_share(text: str, least_unit: int = 8, repeats: int = 3) -> float:
 def _periods(a: np.ndarray, k: int = 8) -> list[int]:
     """Distances at which groups of ``k`` characters come again: the periods worth looking at."""
     n = len(a)
-    if n < 200:
-        return list(range(1, n // 2 + 1))
+    if n < k + 1:
+        return []
     h = np.zeros(n - k + 1, dtype=np.uint64)
     for i in range(k):
         h = h * np.uint64(1099511628211) + a[i : n - k + 1 + i]
     order = np.argsort(h, kind="stable")
     hs = h[order]
-    d = np.diff(order)[hs[1:] == hs[:-1]]
-    values, counts = np.unique(d, return_counts=True)
+    again = hs[1:] == hs[:-1]
+    if n < 200:  # all distances
+        if not again.any():
+            return []
+        i, j = np.nonzero(h[:, None] == h)
+        return [int(p) for p in np.unique(j[j > i] - i[j > i]) if p <= n // 2]
+    values, counts = np.unique(np.diff(order)[again], return_counts=True)
     return [int(p) for p, m in zip(values, counts) if m >= max(p - k, 4) and p <= n // 2]
 
 
-SCORED = "tab string, id bigint, idx int, lang string, tokens int, bits double, own_bits double, share double"
+SCORED = "tab string, id bigint, idx int, lang string, tokens int, bits double, own_bits double, seen double, share double"
 
 
-def scored(rows: DataFrame, model: KneserNey, look: float = 0.02) -> DataFrame:
-    """Perplexities of every row ``(tab, id, idx, text)``, in bits a token, and the exact share of copies.
-
-    The share is measured where history saves at least ``look`` of the bits: no text with a third of copies
-    saves less. Null and empty texts have no tokens and share 0.
+def scored(rows: DataFrame, model: KneserNey) -> DataFrame:
+    """Perplexities of every row ``(tab, id, idx, text)``, in bits a token, the share of its trigrams that it
+    has had before, and the exact share of copies. Null and empty texts have no tokens and share 0.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         raw = texts(b, "text")
-        n, plain, own, langs = bits(model, raw)
+        n, plain, own, seen, langs = bits(model, raw)
         m = np.maximum(n, 1)
-        share = [repeated_share(t) if o < (1 - look) * p else 0.0 for t, p, o in zip(raw, plain, own)]
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tab", "id", "idx")), pa.array(langs), pa.array(n, pa.int32()), pa.array(plain / m), pa.array(own / m), pa.array(share, pa.float64())], ["tab", "id", "idx", "lang", "tokens", "bits", "own_bits", "share"])
+        share = [repeated_share(t) for t in raw]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tab", "id", "idx")), pa.array(langs), pa.array(n, pa.int32()), pa.array(plain / m), pa.array(own / m), pa.array(seen / m), pa.array(share, pa.float64())], ["tab", "id", "idx", "lang", "tokens", "bits", "own_bits", "seen", "share"])
 
     d = rows.select("tab", F.col("id").cast("bigint").alias("id"), F.col("idx").cast("int").alias("idx"), "text")
     return map_batches(d, run, SCORED, chars=4_000_000)
@@ -293,20 +299,24 @@ def bands(s: DataFrame, width: float = 3.0) -> DataFrame:
     """``(tab, lang, lower, upper)``: the band of perplexity (bits a token, with history) of each language.
 
     Half-widths are ``width`` times the distance of the median from the 20th and 80th percentiles.
+    Copies of a text, which have the same bits, count once.
     """
     q = F.percentile_approx("own_bits", F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)), 1000)
-    b = s.filter("tokens > 0").groupBy("tab", "lang").agg(q.alias("q"))
+    b = s.filter("tokens > 0").select("tab", "lang", "tokens", "bits", "own_bits").distinct().groupBy("tab", "lang").agg(q.alias("q"))
     return b.select("tab", "lang", (F.col("q")[1] - width * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + width * (F.col("q")[2] - F.col("q")[1])).alias("upper"))
 
 
-def repetition(rows: DataFrame, gain: float = 0.05) -> DataFrame:
+def repetition(rows: DataFrame, gain: float = 0.05, seen: float = 0.1, few: int = 20) -> DataFrame:
     """Every row with ``bits``, ``own_bits``, ``share`` and ``rejected``: its perplexity lies outside the band
-    of its language, or its history alone saves ``gain`` of its bits. A repeated row counts once.
+    of its language, or its history alone saves ``gain`` of its bits, or it has had ``seen`` of its trigrams
+    before, however well the model predicts them, or it has too ``few`` tokens to tell. A repeated row counts
+    once. A third of copies in units of three tokens or more leaves a tenth of the trigrams.
     """
-    counted = checkpointed(trigram_counts(rows))
+    counted = checkpointed(trigram_counts(without_copies(rows)))
     s = checkpointed(scored(rows, KneserNey.fit(counted)))
     outside = (F.col("own_bits") < F.col("lower")) | (F.col("own_bits") > F.col("upper")) | (F.col("own_bits") < (1 - gain) * F.col("bits"))
-    return s.join(F.broadcast(bands(s)), ["tab", "lang"], "left").withColumn("rejected", F.coalesce(outside, F.lit(False))).drop("lower", "upper").distinct()  # a row for each language
+    outside = F.coalesce(outside, F.lit(False)) | (F.col("seen") >= seen) | (F.col("tokens") < few)
+    return s.join(F.broadcast(bands(s)), ["tab", "lang"], "left").withColumn("rejected", outside).drop("lower", "upper", "seen").distinct()  # a row for each language
 
 
 def repetitive(rows: DataFrame, least: float = 0.3) -> DataFrame:

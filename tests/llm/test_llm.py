@@ -107,6 +107,31 @@ def test_repetition(spark):
     assert repetition.repetitive(empty(spark)).count() == 0
 
 
+def test_hot_repetitive_copies(spark):
+    r = random.Random(12)
+    names = ["".join(r.choices("abcdefghijklmnopqrstuvwxy", k=6)) for _ in range(300)]
+
+    def line():
+        return " ".join(r.choices(names, k=9)) + "."
+
+    a, b = line(), line()
+    hot = " ".join([line(), a, line(), b, line(), a, line(), line(), b, a])  # 0.3 are copies
+    texts = [" ".join(line() for _ in range(10)) for _ in range(200)] + [hot] * 100
+    found = repetition.repetition(rows(spark, texts))
+    assert {x.id for x in found.filter("share >= 0.29").collect()} == set(range(200, 300))
+    assert {x.id for x in repetition.repetitive(rows(spark, texts), 0.29).collect()} == set(range(200, 300))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab", max_size=60))
+def test_short_periods_are_all(t):
+    import numpy as np
+
+    a = np.array([ord(c) for c in t], dtype=np.uint32)
+    runs = {p for p in range(1, len(a) // 2 + 1) if "1" * 8 in "".join("01"[x] for x in (a[p:] == a[:-p]).astype(int))}
+    assert set(repetition._periods(a)) == runs
+
+
 # 3 markup
 
 
