@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from foliant.llm.common import map_batches, texts
+from foliant.llm.common import map_batches, texts, without_copies
 from foliant.sources.tables import checkpointed
 
 MEASURES = ("chars", "utf8", "utf16", "entities", "json", "crlf")
@@ -109,11 +109,13 @@ def line_counts(rows: DataFrame) -> DataFrame:
     """``(key, n)``: how often lines, first and last words and shapes occur, by their use.
 
     L: a short line without an end mark that is not the last; O: a line's first word; F, E and S: first
-    word, last word and shape of a last line. Counted in each batch before the shuffle; key 0 counts lines.
+    word, last word and shape of a last line. Counted in each batch before the shuffle; key 0 counts lines,
+    key 1 the last lines. Copies of a text count once, so that a cut text cannot vote for itself.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         c: Counter = Counter()
+        ends = 0
         for t in texts(b, "text"):
             lines = [x.strip() for x in (_HIDDEN.sub("", t) if not t.isascii() else t).rstrip().split("\n")]
             for x in lines[:-1]:
@@ -123,13 +125,14 @@ def line_counts(rows: DataFrame) -> DataFrame:
                         c["L", line_keys(x)["L"]] += 1
             code, last = ending(t)
             if code == LINE:
+                ends += 1
                 for k, s in line_keys(last).items():
                     if s and k != "L":
                         c[k, s] += 1
         total = sum(n for (k, _), n in c.items() if k == "O")
-        return pa.RecordBatch.from_arrays([pa.array([0, *(_hash(k, s) for k, s in c)], pa.int64()), pa.array([total, *c.values()], pa.int64())], ["key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([0, 1, *(_hash(k, s) for k, s in c)], pa.int64()), pa.array([total, ends, *c.values()], pa.int64())], ["key", "n"])
 
-    return map_batches(rows.select("text"), run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return map_batches(without_copies(rows).select("text"), run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def lengths(rows: DataFrame) -> DataFrame:
@@ -171,6 +174,10 @@ def at_limits(measured: DataFrame, found: DataFrame, slack: int = 3) -> DataFram
     return long.join(ends, ["tab", "source", "measure", "length"], "left_semi").select("tab", "id", "idx").distinct().withColumn("at_limit", F.lit(True))
 
 
+#: A line counts as used whole from these shares of all lines, and of all judged last lines; of small data from ``LEAST``.
+LINE_SHARE, END_SHARE, LEAST = 3.5e-5, 5e-3, 3
+
+
 def truncated(rows: DataFrame) -> DataFrame:
     """``(tab, id, idx, source, at_limit, how)`` of the cut values of ``rows (tab, id, idx, source, text)``.
 
@@ -204,15 +211,19 @@ def truncated(rows: DataFrame) -> DataFrame:
     lines = ends.filter(F.col("code") == LINE)
     long = lines.selectExpr("tab", "id", "idx", "stack(5, 'L', L, 'F', F, 'O', O, 'E', E, 'S', S) as (kind, key)").filter("key is not null").join(counts, "key")
     use = long.groupBy("tab", "id", "idx").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias("n" + k) for k in "LFOES"))
-    total = counts.filter("key = 0").select(F.col("n").alias("all_lines"))
+    total = counts.agg(*(F.coalesce(F.sum(F.when(F.col("key") == k, F.col("n"))), F.lit(0)).alias(x) for k, x in ((0, "all_lines"), (1, "all_ends"))))
+    of_lines, of_ends = (F.greatest(F.lit(LEAST), F.col(x) * y) for x, y in (("all_lines", LINE_SHARE), ("all_ends", END_SHARE)))
     use = use.join(F.broadcast(total)).select(  # one row
         "tab", "id", "idx",
+        ((F.col("nL") >= of_lines) | (F.col("nS") >= of_ends)).alias("whole_line"),
         (
-            (F.col("nL") >= 3) | (F.col("nS") >= 3) | ((F.col("nF") >= 3) & (F.col("nF") >= F.col("nO"))) | ((F.col("nE") >= 3) & (F.col("nO") <= F.greatest(F.lit(3), F.col("all_lines") * 1e-3)) & (F.col("nE") >= F.col("all_lines") * 1e-4))
-        ).alias("whole_line"),
+            ((F.col("nF") >= of_ends) & (F.col("nF") >= F.col("nO"))) | ((F.col("nE") >= 3) & (F.col("nO") <= F.greatest(F.lit(3), F.col("all_lines") * 1e-3)) & (F.col("nE") >= F.col("all_lines") * 1e-4))
+        ).alias("whole_word"),
     )
     judged = ends.join(use, ["tab", "id", "idx"], "left").join(edge, ["tab", "id", "idx"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-    cut = F.col("code").isin(CUT, 9) | ((F.col("code") == LINE) & ~F.coalesce("whole_line", F.lit(False))) | ((F.col("code") == ROW) & F.col("at_limit"))
+    # a limit outweighs a line's first or last word, not the line or its shape: whole values may be as long as a limit
+    whole = F.coalesce("whole_line", F.lit(False)) | (F.coalesce("whole_word", F.lit(False)) & ~F.col("at_limit"))
+    cut = F.col("code").isin(CUT, 9) | ((F.col("code") == LINE) & ~whole) | ((F.col("code") == ROW) & F.col("at_limit"))
     how = F.when(F.col("code") == 9, "table").when(F.col("code") == LINE, "line").when(F.col("code") == ROW, "row").otherwise("open")
     return judged.filter(cut).select("tab", "id", "idx", "source", "at_limit", how.alias("how"))
 

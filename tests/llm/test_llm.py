@@ -195,6 +195,16 @@ def test_truncation(spark):
     assert truncation.truncated(empty(spark)).count() == 0
 
 
+def test_hot_cut_copies(spark):
+    r = random.Random(13)
+    cut = text(r, 3) + "\nHowever, the contractor clarifies the"
+    hot = [text(r, 4) + "\nRemarks\nHowever, the reader"] * 40 + [text(r, 2) + "\nSo far the clerk"] * 2
+    whole = [text(r, 2 + i % 5) + f"\nOffice, {''.join(r.choices('abcdefgh', k=5))}" for i in range(20)]
+    texts = [text(r, 5) + f"\n{sentence(r)}" for _ in range(60)] + whole + [cut] * 40 + hot
+    got = {x.id for x in truncation.truncated(rows(spark, texts)).collect()}
+    assert got == set(range(80, 80 + 40 + 42))
+
+
 # 5 look-alikes
 
 
