@@ -46,17 +46,22 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def without_copies(rows: DataFrame, share: float = 1e-5) -> DataFrame:
-    """``rows (tab, id, idx, text, ...)`` without the further copies of a text that makes up at least ``share`` of them.
+def copies_marked(rows: DataFrame, share: float = 1e-5) -> DataFrame:
+    """``rows (tab, id, idx, text, ...)`` with ``copy``: a further copy of a text that makes up at least ``share`` of them.
 
     For counting only. There are at most 1 / share such texts, so they are sent to every task; what is
-    shuffled is a hash of each text. A row delivered twice stays twice; null and empty texts all stay.
+    shuffled is a hash of each text. A row delivered twice is no copy; nor are null and empty texts.
     """
     rows = rows.withColumn("_text", F.xxhash64("text")).withColumn("_row", F.xxhash64("tab", "id", "idx"))
     total = rows.agg(F.count("*").alias("all"))
     copies = rows.filter("length(text) > 0").groupBy("_text").agg(F.count("*").alias("_n"), F.min("_row").alias("_first")).filter("_n >= 2")
     hot = copies.join(F.broadcast(total), F.col("_n") >= share * F.col("all")).select("_text", "_first")  # one row
-    return rows.join(F.broadcast(hot), "_text", "left").filter("_first is null or _row = _first").drop("_text", "_row", "_first")
+    return rows.join(F.broadcast(hot), "_text", "left").withColumn("copy", F.coalesce(F.col("_row") != F.col("_first"), F.lit(False))).drop("_text", "_row", "_first")
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """The rows that :func:`copies_marked` does not mark."""
+    return copies_marked(rows).filter("not copy").drop("copy")
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:

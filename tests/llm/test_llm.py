@@ -61,6 +61,14 @@ def test_scan_noise(spark):
     assert scans.scan_noise(empty(spark)).count() == 0
 
 
+def test_hot_noisy_copies(spark):
+    r = random.Random(14)
+    hot = "The comrnittee describes tbe water levels in 1950."
+    texts = [text(r) for _ in range(300)] + [hot] * 150
+    got = {x.id for x in scans.scan_noise(rows(spark, texts)).filter("kind = 'misread'").collect()}
+    assert got == set(range(300, 450))
+
+
 def test_paragraphs(spark):
     got = {r.id: r.text for r in scans.paragraphs(scan_table(spark)).collect()}
     assert got[1000].startswith("The committee describes the drawings in 1950.") and "Journal" not in got[1000] and "12" not in got[1000]
