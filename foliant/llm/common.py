@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliant.sources.ship import ship
 
-#: Codes of the languages that have a model, in the order of the arrays of every language model.
-LANGS = ("en", "ko", "de", "fr", "es", "pt", "ja", "ru")
-
 
 #: Characters of text that are worked on at once; a longer text is worked on alone.
 CHARS = 16_000_000
