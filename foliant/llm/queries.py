@@ -7,22 +7,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from foliant.llm import languages, leaks, lookalike, markup, mixing, repetition, scans, truncation
 from foliant.sources.tables import table
 
-ROWS = ("tab", "id", "idx", "source", "label", "text")
-
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), F.lit(-1).alias("idx"), "source", F.lit(None).cast("string").alias("label"), "text")
+    return table(spark, d, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), F.lit(-1).alias("idx"), "source", F.lit(None).cast("string").alias("label"), "lang", "text")
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "page_element").filter("text is not null").select(F.lit("page_element").alias("tab"), F.col("page_id").alias("id"), F.col("elem_idx").alias("idx"), F.lit(None).cast("string").alias("source"), "label", "text")
+    return table(spark, d, "page_element").filter("text is not null").select(F.lit("page_element").alias("tab"), F.col("page_id").alias("id"), F.col("elem_idx").alias("idx"), F.lit(None).cast("string").alias("source"), "label", F.lit(None).cast("string").alias("lang"), "text")
 
 
 def _traces(spark: SparkSession, d: str, column: str) -> DataFrame:
     """Traces with the source of their page; a trace delivered twice is judged once, by its key and value."""
     pages = table(spark, d, "page_image").select("page_id", "source")
     t = table(spark, d, "layout").filter(F.col(column).isNotNull()).select("page_id", F.col("elem_idx").alias("idx"), "label", F.col(column).alias("text"))
-    return t.join(pages, "page_id", "left").select(F.lit("layout").alias("tab"), F.col("page_id").alias("id"), "idx", "source", "label", "text")
+    return t.join(pages, "page_id", "left").select(F.lit("layout").alias("tab"), F.col("page_id").alias("id"), "idx", "source", "label", F.lit(None).cast("string").alias("lang"), "text")
 
 
 def _keys(df: DataFrame, *more: str) -> DataFrame:
@@ -45,12 +43,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "layout").select(F.lit("layout").alias("tab"), F.col("page_id").alias("id"), F.col("elem_idx").alias("idx"), F.lit(None).cast("string").alias("source"), "label", F.col("raw").alias("text"))
+    return table(spark, d, "layout").select(F.lit("layout").alias("tab"), F.col("page_id").alias("id"), F.col("elem_idx").alias("idx"), F.lit(None).cast("string").alias("source"), "label", F.lit(None).cast("string").alias("lang"), F.col("raw").alias("text"))
 
 
 def p2_perplexity(spark: SparkSession, d: str) -> DataFrame:
     """Perplexities, verdict and repeated share of every text and trace."""
-    return _keys(repetition.repetition(_documents(spark, d).unionByName(_raw(spark, d))), "lang", "tokens", "bits", "own_bits", "share", "rejected")
+    return _keys(repetition.repetition(_documents(spark, d).unionByName(_raw(spark, d))), "lang", "tokens", "bits", "ratio", "share", "rejected")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Problem 2: repetition inside a single document, by n-gram perplexity.
 
-A modified Kneser-Ney model of word trigrams is counted in Spark over all texts and stored as sorted
-arrays of n-gram hashes. Each text is scored twice: under the model, and under the model mixed with a
-model of the text's own words so far. What a text repeats is cheap under its own history, so its second
-perplexity falls; language-specific bands of perplexity, taken from all texts, reject the texts outside.
-A text that the corpus model already predicts, as that of many copies, gains nothing by its history, so a
-text is also rejected by how many of its trigrams it has had before. Copies of a text count once in the
-model and in the bands. The repeated share of every text is measured exactly on its characters.
+Texts are turned into token hashes once. A modified Kneser-Ney model of trigrams is counted over them in
+Spark and stored as sorted arrays of n-gram hashes. Each text has three perplexities: under the model;
+under the lowest order of the model alone; and under n-grams of the text's own words so far that back off
+to that lowest order. What a text repeats costs nothing under its own history, whether or not the corpus
+predicts it, so the ratio of the last two falls by about the share of what is repeated. Bands of each
+language, lower and upper for the perplexity and lower for the ratio, are taken from all texts and reject
+the texts outside. Copies of a text count once in the model and in the bands. The language of a text is
+judged by word frequencies that are counted from the labels. The repeated share of every text is
+measured exactly on its characters.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.llm.common import map_batches, mix, texts, without_copies
+from foliant.llm.common import copies_marked, map_batches, mix, texts
+from foliant.llm.languages import known_labels, label_code
 from foliant.sources.tables import checkpointed
 
 _OTSL = re.compile(r"<(?:fcel|ched|ecel|lcel|ucel|xcel)>")
@@ -26,18 +29,12 @@ _ROW = re.compile(r"<nl>")
 _TOKEN = re.compile(r"[぀-ヿ一-鿿]|\d{1,4}|[^\W\d_]+|[^\w\s]|_")
 _UNIT = re.compile(r"(?<=[.!?])(?=\s)|(?<=[。！？])|\n")
 _DIGIT = re.compile(r"\d+")
-# Frequent words that tell languages of one script apart.
-FUNCTION_WORDS = {
-    "en": "the of and in on at is to by for with an was has",
-    "de": "der die das und in den dem des mit von ist ein eine auf für",
-    "fr": "le la les de du des et à en un une est dans pour sur",
-    "es": "el la los las de del y en un una es por con al",
-    "pt": "o a os as de do da dos das e em um uma no na com",
-}
-_LATIN = {w: [k for k, v in FUNCTION_WORDS.items() if w in v.split()] for v in FUNCTION_WORDS.values() for w in v.split()}
-
-#: At most so many n-grams of each order are kept: those that make up at least this share of all tokens.
+
+#: The model keeps the n-grams that make up at least this share of all tokens; the others back off, as in
+#: any pruned model. It bounds each array by 1 / PRUNE entries and behaves alike at every size.
 PRUNE = 1e-6
+#: Words of the language model that judges languages: those with at least this share of all tokens.
+WORDS = 1e-5
 
 
 def content(text: str) -> str:
@@ -48,94 +45,196 @@ def content(text: str) -> str:
     return t
 
 
-def language(tokens: list[str]) -> str:
-    """The language of a text for its bands: by script, then by function words; ``und`` if none occur."""
-    votes: dict[str, int] = {}
-    for w in set(tokens):
-        c = w[0]
-        if c > "Ͱ":
-            k = "ko" if "가" <= c <= "힣" else "ja" if "぀" <= c <= "鿿" else "ru" if "Ѐ" <= c <= "ԯ" else None
-            if k:
-                votes[k] = votes.get(k, 0) + 1
-        else:
-            for k in _LATIN.get(w, ()):
-                votes[k] = votes.get(k, 0) + 1
-    return max(votes, key=lambda k: (votes[k], k)) if votes else "und"
-
-
 class _Hashes(dict):
-    """Token to 64-bit hash; numbers are alike. Emptied when it holds a million tokens."""
+    """Token to 31-bit hash; numbers are alike. Emptied when it holds a million tokens."""
 
     def __missing__(self, w: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        self[w] = h = xxhash.xxh3_64_intdigest(_DIGIT.sub("0", w))
+        self[w] = h = xxhash.xxh32_intdigest(_DIGIT.sub("0", w)) & 0x7FFFFFFF
         return h
 
 
 _hashes = _Hashes()
-_START = np.uint64(0x9E3779B97F4A7C15)
+_START = 0x5BD1E995 & 0x7FFFFFFF
 _M2, _M3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def tokens_of(text: str) -> list[str]:
+def tokens_of(folded: str) -> list[str]:
     """Words, signs, numbers in groups of four digits; a word of over 20 letters, which is more likely a
     loop of letters, in pairs."""
-    found = _TOKEN.findall(content(text))
+    found = _TOKEN.findall(folded)
     if found and max(map(len, found)) > 20:
         found = [p for w in found for p in ([w] if len(w) <= 20 else [w[i : i + 2] for i in range(0, len(w), 2)])]
     return found
 
 
-def encoded(strings: list[str], judge: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes of all tokens, two starts before each text, the index of each token's text, and, if wished, the languages."""
-    flat: list[int] = []
-    owner: list[int] = []
-    langs = []
-    get = _hashes.__getitem__
-    for i, t in enumerate(strings):
-        tokens = tokens_of(t)
-        if judge:
-            langs.append(language(tokens))
-        flat += (int(_START), int(_START))
-        flat += map(get, tokens)
-        owner.append(len(tokens) + 2)
-    return np.array(flat, dtype=np.uint64), np.repeat(np.arange(len(strings)), owner), langs
-
-
-def grams(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each token with two tokens before it: hashes of abc, ab, bc, b, c, and the index of its text."""
-    ok = own[2:] == own[:-2]
-    a, b, c = h[:-2][ok], h[1:-1][ok], h[2:][ok]
-    ab, bc = mix(a * _M2 + b), mix(b * _M2 + c)
-    return mix(ab * _M3 + c), ab, bc, b, c, own[2:][ok]
+# The exact share
+
+
+_B = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+_SHORT = 4096
+
+
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _B, dtype=np.uint64)]))
+
+
+def _pairs(n: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths ``lo`` to ``hi`` of all blocks k p to (k + 1) p whose next block still lies in ``n``."""
+    p = np.arange(lo, hi, dtype=np.int64)
+    m = np.maximum(n // p - 1, 0)
+    of = np.repeat(p, m)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+    return k * of, of
+
+
+_POWERS = _powers(_SHORT)
+_start, _length = _pairs(_SHORT, 1, _SHORT // 2 + 1)
+_by_end = np.argsort(_start + 2 * _length, kind="stable")
+#: The pairs of blocks that fit a text of n characters are the first ones in this order.
+_STARTS, _LENGTHS = _start[_by_end], _length[_by_end]
+_ENDS = _STARTS + 2 * _LENGTHS
+
+
+def _periods(a: np.ndarray) -> np.ndarray:
+    """All periods of which the text ``a`` may hold three rounds in a row.
+
+    Three rounds of length p cover two neighbouring blocks k p to (k + 1) p and (k + 1) p to (k + 2) p, and
+    these are equal; so every period is found by comparing all such blocks, by their ends first and then by
+    hashes: n log n comparisons for a text of n characters, of any length.
+    """
+    n = len(a)
+    if n <= _SHORT:
+        m = int(np.searchsorted(_ENDS, n, side="right"))
+        parts = [(_STARTS[:m], _LENGTHS[:m])]
+        power = _POWERS
+    else:
+        power = _powers(n)
+        edges = [1]
+        while edges[-1] <= n // 3:
+            edges.append(min(n // 3 + 1, max(edges[-1] + 1, edges[-1] * 2)))
+        parts = (_pairs(n, lo, hi) for lo, hi in zip(edges, edges[1:]))
+    with np.errstate(over="ignore"):
+        h = np.concatenate([[np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:n])])
+        found = []
+        for s, p in parts:
+            ok = a[s] == a[s + p]
+            s, p = s[ok], p[ok]
+            ok = a[s + p - 1] == a[s + 2 * p - 1]
+            s, p = s[ok], p[ok]
+            if len(s):
+                found.append(np.unique(p[(h[s + p] - h[s]) * power[p] == h[s + 2 * p] - h[s + p]]))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def repeated_share(folded: str, least_unit: int = 8, repeats: int = 3) -> float:
+    """The share of the characters of a text of :func:`content`, without spaces, that are further copies.
+
+    Copies of a whole sentence, line or table row of at least ``least_unit`` characters; and the further
+    rounds of anything shorter that follows itself ``repeats`` times or more, over 8 characters at least.
+    An empty text has none.
+    """
+    s = "".join(folded.split())
+    n = len(s)
+    if not n:
+        return 0.0
+    copied = np.zeros(n, dtype=bool)
+    at, seen = 0, set()
+    for unit in _UNIT.split(folded):
+        k = "".join(unit.split())
+        if len(k) >= least_unit:
+            if k in seen:
+                copied[at : at + len(k)] = True
+            seen.add(k)
+        at += len(k)
+    a = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    for p in _periods(a).tolist():
+        same = np.zeros(n - p + 2, dtype=np.int8)
+        same[1:-1] = a[p:] == a[:-p]
+        edge = np.flatnonzero(np.diff(same))
+        i, j = edge[::2], edge[1::2]
+        for x, y in zip(i[j - i >= max((repeats - 1) * p, 8)].tolist(), j[j - i >= max((repeats - 1) * p, 8)].tolist()):
+            copied[x + p : y + p] = True
+    return float(copied.mean())
+
 
+TOKENS = "tab string, id bigint, idx int, label string, copy boolean, share double, tokens array<int>"
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
 
+def tokenised(rows: DataFrame) -> DataFrame:
+    """``(tab, id, idx, label, copy, share, tokens)`` of ``rows (tab, id, idx, lang, text)``.
 
-def trigram_counts(rows: DataFrame) -> DataFrame:
-    """``(abc, ab, bc, b, c, n)``: the trigrams of all texts, and how many texts have each.
+    The only pass over the texts. ``label`` is the code of the language label, ``copy`` marks the further
+    copies of a hot text. Null and empty texts have no tokens and share 0.
+    """
 
-    A text counts once, so that a loop does not teach the model its own words. Counted in each batch before
-    the shuffle.
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        flat, sizes, share = [], [0], []
+        get = _hashes.__getitem__
+        for t in texts(b, "text"):
+            t = content(t)
+            flat += map(get, tokens_of(t))
+            sizes.append(len(flat))
+            share.append(repeated_share(t))
+        labels = pa.array([label_code(x) for x in b.column("lang").to_pylist()], pa.string())
+        tokens = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.array(flat, dtype=np.int32)))
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tab", "id", "idx")), labels, b.column("copy"), pa.array(share, pa.float64()), tokens], ["tab", "id", "idx", "label", "copy", "share", "tokens"])
+
+    d = copies_marked(rows).select("tab", F.col("id").cast("bigint").alias("id"), F.col("idx").cast("int").alias("idx"), F.col("lang").cast("string").alias("lang"), "copy", "text")
+    return map_batches(d, run, TOKENS)
+
+
+def encoded(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a batch, two starts before each text, and the index of each token's text."""
+    lists = b.column("tokens")
+    n = np.diff(lists.offsets.to_numpy())
+    own = np.repeat(np.arange(len(n)), n + 2)
+    t = np.full(len(own), _START, dtype=np.uint64)
+    inner = np.ones(len(own), dtype=bool)
+    first = np.concatenate([[0], np.cumsum(n + 2)[:-1]]) if len(n) else np.zeros(0, np.int64)
+    inner[first], inner[first + 1] = False, False
+    t[inner] = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+    return t, own
+
+
+def _key(*parts: np.ndarray) -> np.ndarray:
+    """64-bit hash of n-grams given token by token."""
+    h = parts[0].astype(np.uint64)
+    for x in parts[1:]:
+        h = mix(h * _M2 + x.astype(np.uint64))
+    return h
+
+
+def gram_counts(tokens: DataFrame, labels: list[str]) -> DataFrame:
+    """``(k, a, b, c, n)``: trigrams (k 0), and words b of each label a (k 1), and how many texts have each.
+
+    A text counts once, so that a loop does not teach the model its own words; hot copies count once.
+    Counted in each batch before the shuffle; the number of partitions follows from the number of tokens.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        h, own, _ = encoded(texts(batch, "text"), judge=False)
-        if len(h) < 3:
+        t, own = encoded(batch)
+        if len(t) < 3:
             return None
-        abc, ab, bc, b, c, of = grams(h, own)
-        if not len(abc):
-            return None
-        once = np.unique(abc ^ (mix(of.astype(np.uint64) + np.uint64(1)) * _M2), return_index=True)[1]
-        abc, ab, bc, b, c = (x[once] for x in (abc, ab, bc, b, c))
-        key, first, n = np.unique(abc, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([_signed(key), *(_signed(x[first]) for x in (ab, bc, b, c)), pa.array(n)], ["abc", "ab", "bc", "b", "c", "n"])
-
-    t = map_batches(rows.select("text"), run, "abc bigint, ab bigint, bc bigint, b bigint, c bigint, n bigint")
-    return t.groupBy("abc").agg(*(F.first(x).alias(x) for x in ("ab", "bc", "b", "c")), F.sum("n").alias("n"))
+        ok = own[2:] == own[:-2]
+        a, b, c, of = t[:-2][ok], t[1:-1][ok], t[2:][ok], own[2:][ok].astype(np.uint64)
+        once = np.unique(_key(of + np.uint64(1), a, b, c), return_index=True)[1]
+        a, b, c, of = a[once], b[once], c[once], of[once]
+        _, first, n = np.unique(_key(a, b, c), return_index=True, return_counts=True)
+        cols = [[np.zeros(len(first)), a[first], b[first], c[first], n]]
+        names = batch.column("label").to_pylist()
+        lang = np.array([labels.index(x) if x in labels else -1 for x in names])[of.astype(np.int64)]
+        c, lang = c[lang >= 0], lang[lang >= 0]
+        if len(c):
+            _, first, n = np.unique(_key(lang, c), return_index=True, return_counts=True)
+            cols.append([np.ones(len(first)), lang[first], c[first], np.zeros(len(first)), n])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int32)) for x in zip(*cols)], ["k", "a", "b", "c", "n"])
+
+    all_ = tokens.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first().n
+    g = map_batches(tokens.filter("not copy").select("label", "tokens"), run, "k int, a int, b int, c int, n int")
+    return g.repartition(max(1, all_ // 2_000_000), "k", "a", "b", "c").groupBy("k", "a", "b", "c").agg(F.sum("n").alias("n"))
 
 
 def _discounts(df: DataFrame, col: str) -> tuple[float, float, float]:
@@ -150,7 +249,6 @@ class Arrays:
     """A sorted array of hashes with a number for each."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        keys = keys.astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order].astype(np.float32)
 
@@ -163,40 +261,59 @@ class Arrays:
 
 
 class KneserNey:
-    """Probabilities of trigrams, bigrams and words, less their discounts, and the weights of back-off.
+    """Probabilities of trigrams, bigrams and words, less their discounts, and the weights of back-off; and
+    the words of each language."""
 
-    Counted over all texts; only what makes up ``PRUNE`` of the tokens is kept (1 / PRUNE entries at most
-    in each array), the rest backs off.
-    """
-
-    def __init__(self, t3: Arrays, g2: Arrays, t2: Arrays, g1: Arrays, t1: Arrays, floor: float) -> None:
-        self.t3, self.g2, self.t2, self.g1, self.t1, self.floor = t3, g2, t2, g1, t1, floor
+    def __init__(self, t3: Arrays, g2: Arrays, t2: Arrays, g1: Arrays, t1: Arrays, floor: float, words: Arrays, by_label: np.ndarray) -> None:
+        self.t3, self.g2, self.t2, self.g1, self.t1, self.floor, self.words, self.by_label = t3, g2, t2, g1, t1, floor, words, by_label
 
     @classmethod
-    def fit(cls, counted: DataFrame) -> KneserNey:
-        total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    def fit(cls, counted: DataFrame, labels: list[str]) -> KneserNey:
+        """The model of the counts of :func:`gram_counts`, a table that is read several times."""
+        three = counted.filter("k = 0")
+        total = three.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
         least = max(2, int(PRUNE * total))
-        two = checkpointed(counted.groupBy("bc").agg(F.first("b").alias("b"), F.first("c").alias("c"), F.count("*").alias("n"), F.sum("n").alias("seen")))
+        two = checkpointed(three.groupBy("b", "c").agg(F.count("*").alias("n"), F.sum("n").alias("seen")))
         one = two.groupBy("c").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"))
         types = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
 
-        def order(df: DataFrame, key: str, ctx: str, seen: str) -> tuple[Arrays, Arrays]:
+        def order(df: DataFrame, keys: list[str]) -> tuple[Arrays, Arrays]:
+            ctx = keys[:-1]
             d1, d2, d3 = _discounts(df, "n")
             disc = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-            contexts = df.groupBy(ctx).agg(F.sum("n").alias("all"), F.sum(disc).alias("off"), F.sum(seen).alias("often"))
-            kept = df.filter(F.col(seen) >= least).join(contexts, ctx).select(key, ((F.col("n") - disc) / F.col("all")).alias("p")).toPandas()
-            back = contexts.filter(F.col("often") >= least).select(ctx, (F.col("off") / F.col("all")).alias("g")).toPandas()
-            return Arrays(kept[key].to_numpy(), kept["p"].to_numpy()), Arrays(back[ctx].to_numpy(), back["g"].to_numpy())
+            contexts = df.groupBy(*ctx).agg(F.sum("n").alias("all"), F.sum(disc).alias("off"), F.sum("seen").alias("often")).filter(F.col("often") >= least)
+            kept = df.filter(F.col("seen") >= least).join(contexts, ctx).select(*keys, ((F.col("n") - disc) / F.col("all")).alias("p")).toPandas()
+            back = contexts.select(*ctx, (F.col("off") / F.col("all")).alias("g")).toPandas()
+            return Arrays(_key(*(kept[x].to_numpy() for x in keys)), kept["p"].to_numpy()), Arrays(_key(*(back[x].to_numpy() for x in ctx)), back["g"].to_numpy())
 
-        t3, g2 = order(counted.withColumn("seen", F.col("n")), "abc", "ab", "seen")
-        t2, g1 = order(two, "bc", "b", "seen")
+        t3, g2 = order(three.withColumn("seen", F.col("n")), ["a", "b", "c"])
+        t2, g1 = order(two, ["b", "c"])
         words = one.filter(F.col("seen") >= least).select("c", (F.col("n") / F.lit(float(max(types.n, 1)))).alias("p")).toPandas()
-        return cls(t3, g2, t2, g1, Arrays(words["c"].to_numpy(), words["p"].to_numpy()), 0.5 / max(types.n + types.words, 2))
-
-    def probability(self, abc: np.ndarray, ab: np.ndarray, bc: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        p1 = self.t1.get(c, 0.0) * 0.95 + np.float32(self.floor)
-        p2 = self.t2.get(bc, 0.0) + self.g1.get(b, 1.0) * p1
-        return np.clip(self.t3.get(abc, 0.0) + self.g2.get(ab, 1.0) * p2, 1e-12, 1.0)
+        # the frequent words of each label: 1 / WORDS at most
+        w = counted.filter("k = 1").groupBy("b").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("a", "n"))).alias("by")).filter(F.col("n") >= max(2, WORDS * total)).select("b", "by").toPandas()
+        n = np.zeros((len(w), max(len(labels), 1)))
+        for i, by in enumerate(w["by"]):
+            for k, v in by.items():
+                n[i, k] = v
+        share = (n + 0.05) / (n.sum(axis=0) + 1)
+        by_label = np.concatenate([np.log(share / share.mean(axis=1, keepdims=True)), np.zeros((1, share.shape[1]))]).astype(np.float32)
+        return cls(t3, g2, t2, g1, Arrays(words["c"].to_numpy().astype(np.uint64), words["p"].to_numpy()), 0.5 / max(types.n + types.words, 2), Arrays(w["b"].to_numpy().astype(np.uint64), np.arange(len(w))), by_label)
+
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        return self.t1.get(c, 0.0).astype(np.float64) * 0.95 + self.floor
+
+    def trigram(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        p2 = self.t2.get(_key(b, c), 0.0) + self.g1.get(b, 1.0) * p1
+        return np.clip(self.t3.get(_key(a, b, c), 0.0) + self.g2.get(_key(a, b), 1.0) * p2, 1e-12, 1.0)
+
+    def language(self, c: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """The index of the label whose words a text has most likely; -1 without labels or words."""
+        if self.by_label.shape[0] == 1:
+            return np.full(n, -1)
+        at = self.words.get(c, -1).astype(np.int64)
+        known = at >= 0
+        score = np.stack([np.bincount(of[known], self.by_label[at[known], k], n) for k in range(self.by_label.shape[1])], axis=1)
+        return np.where(np.bincount(of[known], minlength=n) > 0, score.argmax(axis=1), -1)
 
 
 def _earlier(key: np.ndarray) -> np.ndarray:
@@ -210,113 +327,71 @@ def _earlier(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def bits(model: KneserNey, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Tokens of each text, its bits under the model and with its own history, how many of its trigrams
-    stand in it before, and its language."""
-    n = len(strings)
-    h, own, langs = encoded(strings)
-    if len(h) < 3:
-        return np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), langs
-    abc, ab, bc, b, c, of = grams(h, own)
-    p = model.probability(abc, ab, bc, b, c).astype(np.float64)
-    doc = mix(of.astype(np.uint64) + np.uint64(1)) * _M2
-    r3, r2 = _earlier(abc ^ doc), _earlier(ab ^ doc)
-    own_weight = r2 / (r2 + 1.0)  # nothing where the text has no such words so far
-    q = (1 - own_weight) * p + own_weight * r3 / np.maximum(r2, 1)
-    return np.bincount(of, minlength=n), np.bincount(of, -np.log2(p), n), np.bincount(of, -np.log2(np.clip(q, 1e-12, 1)), n), np.bincount(of, r3 > 0, n), langs
+#: Weights of a text's own n-grams against the model's lowest order; each text takes its likeliest.
+MIXES = (0.0, 0.5, 0.9, 0.99)
 
 
-def repeated_share(text: str, least_unit: int = 8, repeats: int = 3) -> float:
-    """The share of a text's characters, without spaces, that are further copies.
+def bits(model: KneserNey, t: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Of each text the tokens, its bits under the model, under the lowest order and with its own history,
+    and the index of its language."""
+    zero = np.zeros(n)
+    if len(t) < 3:
+        return zero, zero, zero, zero, np.full(n, -1)
+    ok = own[2:] == own[:-2]
+    a, b, c, of = t[:-2][ok], t[1:-1][ok], t[2:][ok], own[2:][ok]
+    p1 = model.unigram(c)
+    plain = np.bincount(of, -np.log2(model.trigram(a, b, c, p1)), n)
+    base = np.bincount(of, -np.log2(p1), n)
+    doc = _key(of.astype(np.uint64) + np.uint64(1), a, b)
+    r2, r3 = _earlier(doc), _earlier(_key(doc, c))
+    history = r3 / np.maximum(r2, 1)
+    best = base
+    for w in MIXES[1:]:
+        v = np.where(r2 > 0, w, 0.0)
+        best = np.minimum(best, np.bincount(of, -np.log2((1 - v) * p1 + v * history), n))
+    return np.bincount(of, minlength=n), plain, base, best, model.language(c, of, n)
 
-    Copies of a whole sentence, line or table row of at least ``least_unit`` characters; and the further
-    rounds of anything shorter that follows itself at least ``repeats`` times. An empty text has none.
-    """
-    t = content(text)
-    s = "".join(t.split())
-    n = len(s)
-    if not n:
-        return 0.0
-    copied = np.zeros(n, dtype=bool)
-    at, seen = 0, set()
-    for unit in _UNIT.split(t):
-        k = "".join(unit.split())
-        if len(k) >= least_unit:
-            if k in seen:
-                copied[at : at + len(k)] = True
-            seen.add(k)
-        at += len(k)
-    a = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    for p in _periods(a):
-        same = np.concatenate([[False], a[p:] == a[:-p], [False]])
-        edge = np.flatnonzero(same[1:] != same[:-1])
-        for i, j in zip(edge[::2], edge[1::2]):
-            if j - i >= max((repeats - 1) * p, 8):
-                copied[i + p : j + p] = True
-    return float(copied.mean())
 
+SCORED = "tab string, id bigint, idx int, lang string, tokens int, bits double, ratio double, share double"
 
-def _periods(a: np.ndarray, k: int = 8) -> list[int]:
-    """Distances at which groups of ``k`` characters come again: the periods worth looking at."""
-    n = len(a)
-    if n < k + 1:
-        return []
-    h = np.zeros(n - k + 1, dtype=np.uint64)
-    for i in range(k):
-        h = h * np.uint64(1099511628211) + a[i : n - k + 1 + i]
-    order = np.argsort(h, kind="stable")
-    hs = h[order]
-    again = hs[1:] == hs[:-1]
-    if n < 200:  # all distances
-        if not again.any():
-            return []
-        i, j = np.nonzero(h[:, None] == h)
-        return [int(p) for p in np.unique(j[j > i] - i[j > i]) if p <= n // 2]
-    values, counts = np.unique(np.diff(order)[again], return_counts=True)
-    return [int(p) for p, m in zip(values, counts) if m >= max(p - k, 4) and p <= n // 2]
-
-
-SCORED = "tab string, id bigint, idx int, lang string, tokens int, bits double, own_bits double, seen double, share double"
-
-
-def scored(rows: DataFrame, model: KneserNey) -> DataFrame:
-    """Perplexities of every row ``(tab, id, idx, text)``, in bits a token, the share of its trigrams that it
-    has had before, and the exact share of copies. Null and empty texts have no tokens and share 0.
-    """
+
+def scored(tokens: DataFrame, model: KneserNey, labels: list[str]) -> DataFrame:
+    """``(tab, id, idx, lang, tokens, bits, ratio, share)`` of every row of :func:`tokenised`: bits a token under
+    the model, and the bits with its own history against those of the lowest order."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        raw = texts(b, "text")
-        n, plain, own, seen, langs = bits(model, raw)
+        n, plain, base, own, lang = bits(model, *encoded(b), b.num_rows)
         m = np.maximum(n, 1)
-        share = [repeated_share(t) for t in raw]
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tab", "id", "idx")), pa.array(langs), pa.array(n, pa.int32()), pa.array(plain / m), pa.array(own / m), pa.array(seen / m), pa.array(share, pa.float64())], ["tab", "id", "idx", "lang", "tokens", "bits", "own_bits", "seen", "share"])
+        names = [labels[k] if k >= 0 else "und" for k in lang.tolist()]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tab", "id", "idx")), pa.array(names, pa.string()), pa.array(n, pa.int32()), pa.array(plain / m), pa.array(np.where(base > 0, own / np.maximum(base, 1e-9), 1.0)), b.column("share")], ["tab", "id", "idx", "lang", "tokens", "bits", "ratio", "share"])
 
-    d = rows.select("tab", F.col("id").cast("bigint").alias("id"), F.col("idx").cast("int").alias("idx"), "text")
-    return map_batches(d, run, SCORED, chars=4_000_000)
+    return map_batches(tokens.select("tab", "id", "idx", "share", "tokens"), run, SCORED)
 
 
-def bands(s: DataFrame, width: float = 3.0) -> DataFrame:
-    """``(tab, lang, lower, upper)``: the band of perplexity (bits a token, with history) of each language.
+def bands(s: DataFrame, width: float = 3.0, inner: float = 0.5) -> DataFrame:
+    """``(tab, lang, lower, upper, least_ratio)``: the band of perplexity (bits a token) of each language, and
+    the least ratio.
 
-    Half-widths are ``width`` times the distance of the median from the 20th and 80th percentiles.
-    Copies of a text, which have the same bits, count once.
+    Half-widths are ``width`` times (for the ratio, ``inner`` times) the distance of the median from the 20th
+    and 80th percentiles. Copies of a text, which have the same bits, count once.
     """
-    q = F.percentile_approx("own_bits", F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)), 1000)
-    b = s.filter("tokens > 0").select("tab", "lang", "tokens", "bits", "own_bits").distinct().groupBy("tab", "lang").agg(q.alias("q"))
-    return b.select("tab", "lang", (F.col("q")[1] - width * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + width * (F.col("q")[2] - F.col("q")[1])).alias("upper"))
+    q = lambda c: F.percentile_approx(c, F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)), 1000)
+    b = s.filter("tokens > 0").select("tab", "lang", "tokens", "bits", "ratio").distinct().groupBy("tab", "lang").agg(q("bits").alias("q"), q("ratio").alias("r"))
+    return b.select(
+        "tab", "lang", (F.col("q")[1] - width * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + width * (F.col("q")[2] - F.col("q")[1])).alias("upper"), (F.col("r")[1] - inner * (F.col("r")[1] - F.col("r")[0])).alias("least_ratio"),
+    )
 
 
-def repetition(rows: DataFrame, gain: float = 0.05, seen: float = 0.1, few: int = 20) -> DataFrame:
-    """Every row with ``bits``, ``own_bits``, ``share`` and ``rejected``: its perplexity lies outside the band
-    of its language, or its history alone saves ``gain`` of its bits, or it has had ``seen`` of its trigrams
-    before, however well the model predicts them, or it has too ``few`` tokens to tell. A repeated row counts
-    once. A third of copies in units of three tokens or more leaves a tenth of the trigrams.
+def repetition(rows: DataFrame) -> DataFrame:
+    """Every row of ``rows (tab, id, idx, lang, text)`` with ``lang, tokens, bits, ratio, share`` and ``rejected``:
+    whether one of its perplexities lies outside the bands of its language. A repeated row counts once.
     """
-    counted = checkpointed(trigram_counts(without_copies(rows)))
-    s = checkpointed(scored(rows, KneserNey.fit(counted)))
-    outside = (F.col("own_bits") < F.col("lower")) | (F.col("own_bits") > F.col("upper")) | (F.col("own_bits") < (1 - gain) * F.col("bits"))
-    outside = F.coalesce(outside, F.lit(False)) | (F.col("seen") >= seen) | (F.col("tokens") < few)
-    return s.join(F.broadcast(bands(s)), ["tab", "lang"], "left").withColumn("rejected", outside).drop("lower", "upper", "seen").distinct()  # a row for each language
+    tokens = checkpointed(tokenised(rows))  # read three times
+    labels = known_labels(tokens.select(F.col("label").alias("lang")))
+    model = KneserNey.fit(checkpointed(gram_counts(tokens, labels)), labels)
+    s = checkpointed(scored(tokens, model, labels))
+    outside = (F.col("bits") < F.col("lower")) | (F.col("bits") > F.col("upper")) | (F.col("ratio") < F.col("least_ratio"))
+    return s.join(F.broadcast(bands(s)), ["tab", "lang"], "left").withColumn("rejected", F.coalesce(outside, F.lit(False))).drop("lower", "upper", "least_ratio").distinct()  # a row for each language
 
 
 def repetitive(rows: DataFrame, least: float = 0.3) -> DataFrame:
