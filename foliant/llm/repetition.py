@@ -26,8 +26,7 @@ from foliant.sources.tables import checkpointed
 
 _OTSL = re.compile(r"<(?:fcel|ched|ecel|lcel|ucel|xcel)>")
 _ROW = re.compile(r"<nl>")
-_TOKEN = re.compile(r"[぀-ヿ一-鿿]|\d{1,4}|[^\W\d_]+|[^\w\s]|_")
-_UNIT = re.compile(r"(?<=[.!?])(?=\s)|(?<=[。！？])|\n")
+_TOKEN = re.compile(r"[^\W\d_぀-ヿ一-鿿]+|\d{1,4}|[^\w\s]|\w")
 _DIGIT = re.compile(r"\d+")
 
 #: The model keeps the n-grams that make up at least this share of all tokens; the others back off, as in
@@ -46,18 +45,20 @@ def content(text: str) -> str:
 
 
 class _Hashes(dict):
-    """Token to 31-bit hash; numbers are alike. Emptied when it holds a million tokens."""
+    """31-bit hashes of the tokens of a run without white space; numbers are alike. Emptied at 300,000 runs."""
 
-    def __missing__(self, w: str) -> int:
-        if len(self) > 1_000_000:
+    def __missing__(self, run: str) -> list[int]:
+        if len(self) > 300_000:
             self.clear()
-        self[w] = h = xxhash.xxh32_intdigest(_DIGIT.sub("0", w)) & 0x7FFFFFFF
+        h = [xxhash.xxh32_intdigest(_DIGIT.sub("0", w)) & 0x7FFFFFFF for w in tokens_of(run)]
+        if len(run) <= 40:
+            self[run] = h
         return h
 
 
 _hashes = _Hashes()
 _START = 0x5BD1E995 & 0x7FFFFFFF
-_M2, _M3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens_of(folded: str) -> list[str]:
@@ -74,6 +75,7 @@ def tokens_of(folded: str) -> list[str]:
 
 _B = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _SHORT = 4096
+_RUN = b"\1" * 8
 
 
 def _powers(n: int) -> np.ndarray:
@@ -91,42 +93,56 @@ def _pairs(n: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _POWERS = _powers(_SHORT)
-_start, _length = _pairs(_SHORT, 1, _SHORT // 2 + 1)
+_start, _length = _pairs(_SHORT, 9, _SHORT // 2 + 1)
 _by_end = np.argsort(_start + 2 * _length, kind="stable")
 #: The pairs of blocks that fit a text of n characters are the first ones in this order.
 _STARTS, _LENGTHS = _start[_by_end], _length[_by_end]
 _ENDS = _STARTS + 2 * _LENGTHS
 
 
-def _periods(a: np.ndarray) -> np.ndarray:
-    """All periods of which the text ``a`` may hold three rounds in a row.
+def _periods(a: np.ndarray) -> list[int]:
+    """All periods of which the text ``a`` may hold three rounds in a row, over 8 characters at least.
 
-    Three rounds of length p cover two neighbouring blocks k p to (k + 1) p and (k + 1) p to (k + 2) p, and
-    these are equal; so every period is found by comparing all such blocks, by their ends first and then by
-    hashes: n log n comparisons for a text of n characters, of any length.
+    Periods up to 8 are tried. Three rounds of a longer period p cover two neighbouring blocks k p to (k + 1) p
+    and (k + 1) p to (k + 2) p, and these are equal; so every period is found by comparing all such blocks, by
+    their ends first and then by hashes: n log n comparisons for a text of n characters, of any length.
     """
     n = len(a)
+    out = [p for p in range(1, min(9, n)) if (a[p:] == a[:-p]).tobytes().find(_RUN) >= 0]
     if n <= _SHORT:
         m = int(np.searchsorted(_ENDS, n, side="right"))
         parts = [(_STARTS[:m], _LENGTHS[:m])]
         power = _POWERS
     else:
         power = _powers(n)
-        edges = [1]
+        edges = [9]
         while edges[-1] <= n // 3:
-            edges.append(min(n // 3 + 1, max(edges[-1] + 1, edges[-1] * 2)))
+            edges.append(min(n // 3 + 1, edges[-1] * 2))
         parts = (_pairs(n, lo, hi) for lo, hi in zip(edges, edges[1:]))
-    with np.errstate(over="ignore"):
-        h = np.concatenate([[np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:n])])
-        found = []
-        for s, p in parts:
-            ok = a[s] == a[s + p]
-            s, p = s[ok], p[ok]
-            ok = a[s + p - 1] == a[s + 2 * p - 1]
-            s, p = s[ok], p[ok]
-            if len(s):
-                found.append(np.unique(p[(h[s + p] - h[s]) * power[p] == h[s + 2 * p] - h[s + p]]))
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+    h = None
+    for s, p in parts:
+        ok = np.flatnonzero(a[s] == a[s + p])
+        s, p = s[ok], p[ok]
+        ok = a[s + p - 1] == a[s + 2 * p - 1]
+        s, p = s[ok], p[ok]
+        if len(s):
+            with np.errstate(over="ignore"):
+                if h is None:
+                    h = np.concatenate([[np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:n])])
+                p = p[(h[s + p] - h[s]) * power[p] == h[s + 2 * p] - h[s + p]]
+            out += set(p.tolist())
+    return out
+
+
+def units_of(folded: str) -> list[str]:
+    """Sentences, lines and table rows in order, without white space."""
+    t = "\n".join(" ".join(x.split()) for x in folded.split("\n"))
+    for mark in ".!?":
+        t = t.replace(mark + " ", mark + "\n")
+    if not t.isascii():
+        for mark in "。！？":
+            t = t.replace(mark, mark + "\n")
+    return t.replace(" ", "").split("\n")
 
 
 def repeated_share(folded: str, least_unit: int = 8, repeats: int = 3) -> float:
@@ -136,28 +152,33 @@ def repeated_share(folded: str, least_unit: int = 8, repeats: int = 3) -> float:
     rounds of anything shorter that follows itself ``repeats`` times or more, over 8 characters at least.
     An empty text has none.
     """
-    s = "".join(folded.split())
+    units = units_of(folded)
+    s = "".join(units)
     n = len(s)
     if not n:
         return 0.0
-    copied = np.zeros(n, dtype=bool)
-    at, seen = 0, set()
-    for unit in _UNIT.split(folded):
-        k = "".join(unit.split())
-        if len(k) >= least_unit:
-            if k in seen:
-                copied[at : at + len(k)] = True
-            seen.add(k)
-        at += len(k)
+    copied = None
+    if len(set(units)) < len(units):
+        copied = np.zeros(n, dtype=bool)
+        at, seen = 0, set()
+        for k in units:
+            if len(k) >= least_unit:
+                if k in seen:
+                    copied[at : at + len(k)] = True
+                seen.add(k)
+            at += len(k)
     a = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    for p in _periods(a).tolist():
+    for p in _periods(a):
         same = np.zeros(n - p + 2, dtype=np.int8)
         same[1:-1] = a[p:] == a[:-p]
         edge = np.flatnonzero(np.diff(same))
         i, j = edge[::2], edge[1::2]
-        for x, y in zip(i[j - i >= max((repeats - 1) * p, 8)].tolist(), j[j - i >= max((repeats - 1) * p, 8)].tolist()):
-            copied[x + p : y + p] = True
-    return float(copied.mean())
+        long = j - i >= max((repeats - 1) * p, 8)
+        if long.any():
+            copied = np.zeros(n, dtype=bool) if copied is None else copied
+            for x, y in zip(i[long].tolist(), j[long].tolist()):
+                copied[x + p : y + p] = True
+    return 0.0 if copied is None else float(copied.mean())
 
 
 TOKENS = "tab string, id bigint, idx int, label string, copy boolean, share double, tokens array<int>"
@@ -175,7 +196,8 @@ def tokenised(rows: DataFrame) -> DataFrame:
         get = _hashes.__getitem__
         for t in texts(b, "text"):
             t = content(t)
-            flat += map(get, tokens_of(t))
+            for x in map(get, t.split()):
+                flat += x
             sizes.append(len(flat))
             share.append(repeated_share(t))
         labels = pa.array([label_code(x) for x in b.column("lang").to_pylist()], pa.string())
@@ -201,12 +223,45 @@ def encoded(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _key(*parts: np.ndarray) -> np.ndarray:
     """64-bit hash of n-grams given token by token."""
-    h = parts[0].astype(np.uint64)
+    h = mix(parts[0].astype(np.uint64) * _M2)
     for x in parts[1:]:
-        h = mix(h * _M2 + x.astype(np.uint64))
+        h = _longer(h, x)
     return h
 
 
+def _longer(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The hashes of n-grams with one more token."""
+    return mix(h * _M2 + x.astype(np.uint64))
+
+
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ordered by hash, equal ones as they come, and where each group begins.
+
+    The leading bits of the hash and the position are sorted as one number, which leaves 64 less log n bits.
+    """
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.uint64(len(h).bit_length())
+    x = np.sort((h >> low << low) | np.arange(len(h), dtype=np.uint64))
+    k = x >> low
+    return (x & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+
+
+def _earlier(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each element, how many equal ones stand before it, and how many there are in all."""
+    order, start = _groups(h)
+    size = np.diff(np.append(start, len(order)))
+    rank, all_ = np.empty(len(h), dtype=np.int64), np.empty(len(h), dtype=np.int64)
+    rank[order] = np.arange(len(h)) - np.repeat(start, size)
+    all_[order] = np.repeat(size, size)
+    return rank, all_
+
+
+def _parts(b: pa.RecordBatch, rows: int):
+    """The batch in parts that stay in the processor's cache."""
+    return (b.slice(i, rows) for i in range(0, b.num_rows, rows))
+
+
 def gram_counts(tokens: DataFrame, labels: list[str]) -> DataFrame:
     """``(k, a, b, c, n)``: trigrams (k 0), and words b of each label a (k 1), and how many texts have each.
 
@@ -215,23 +270,29 @@ def gram_counts(tokens: DataFrame, labels: list[str]) -> DataFrame:
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        t, own = encoded(batch)
-        if len(t) < 3:
+        cols: list[list[np.ndarray]] = []
+        for part in _parts(batch, 2_000):
+            t, own = encoded(part)
+            if len(t) < 3:
+                continue
+            ok = own[2:] == own[:-2]
+            a, b, c, of = t[:-2][ok], t[1:-1][ok], t[2:][ok], own[2:][ok].astype(np.uint64)
+            order, start = _groups(_longer(_key(a, b, c), of + np.uint64(1)))
+            once = order[start]
+            a, b, c, of = a[once], b[once], c[once], of[once]
+            order, start = _groups(_key(a, b, c))
+            first = order[start]
+            cols.append([np.zeros(len(first)), a[first], b[first], c[first], np.diff(np.append(start, len(order)))])
+            lang = np.array([index.get(x, -1) for x in part.column("label").to_pylist()])[of.astype(np.int64)]
+            c, lang = c[lang >= 0], lang[lang >= 0]
+            order, start = _groups(_key(lang, c))
+            first = order[start]
+            cols.append([np.ones(len(first)), lang[first], c[first], np.zeros(len(first)), np.diff(np.append(start, len(order)))])
+        if not cols:
             return None
-        ok = own[2:] == own[:-2]
-        a, b, c, of = t[:-2][ok], t[1:-1][ok], t[2:][ok], own[2:][ok].astype(np.uint64)
-        once = np.unique(_key(of + np.uint64(1), a, b, c), return_index=True)[1]
-        a, b, c, of = a[once], b[once], c[once], of[once]
-        _, first, n = np.unique(_key(a, b, c), return_index=True, return_counts=True)
-        cols = [[np.zeros(len(first)), a[first], b[first], c[first], n]]
-        names = batch.column("label").to_pylist()
-        lang = np.array([labels.index(x) if x in labels else -1 for x in names])[of.astype(np.int64)]
-        c, lang = c[lang >= 0], lang[lang >= 0]
-        if len(c):
-            _, first, n = np.unique(_key(lang, c), return_index=True, return_counts=True)
-            cols.append([np.ones(len(first)), lang[first], c[first], np.zeros(len(first)), n])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int32)) for x in zip(*cols)], ["k", "a", "b", "c", "n"])
 
+    index = {x: i for i, x in enumerate(labels)}
     all_ = tokens.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first().n
     g = map_batches(tokens.filter("not copy").select("label", "tokens"), run, "k int, a int, b int, c int, n int")
     return g.repartition(max(1, all_ // 2_000_000), "k", "a", "b", "c").groupBy("k", "a", "b", "c").agg(F.sum("n").alias("n"))
@@ -246,18 +307,31 @@ def _discounts(df: DataFrame, col: str) -> tuple[float, float, float]:
 
 
 class Arrays:
-    """A sorted array of hashes with a number for each."""
+    """A sorted array of hashes with a number for each, entered through the leading bits of the hash."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.shift = np.uint64(64 - max(1, int(np.ceil(np.log2(len(keys) + 2)))))
+        starts = np.searchsorted(self.keys, np.arange(1 << int(64 - int(self.shift)), dtype=np.uint64) << self.shift)
+        self.starts = starts.astype(np.int32)
+        self.most = int(np.diff(np.append(starts, len(keys))).max(initial=0))
+        self.keys = np.append(self.keys, np.uint64(2**64 - 1))  # a place to look at the end
+        self.values = np.append(self.values, np.float32(0))
 
     def get(self, h: np.ndarray, other: float) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(h), other, dtype=np.float32)
-        at = np.searchsorted(self.keys, h)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == h, self.values[at], np.float32(other))
+        out = np.full(len(h), other, dtype=np.float32)
+        at = self.starts[(h >> self.shift).astype(np.int64)]
+        rest = np.arange(len(h))
+        for _ in range(self.most):
+            k = self.keys[at]
+            hit = k == h[rest]
+            out[rest[hit]] = self.values[at[hit]]
+            go = k < h[rest]
+            rest, at = rest[go], at[go] + 1
+            if not len(rest):
+                break
+        return out
 
 
 class KneserNey:
@@ -297,38 +371,28 @@ class KneserNey:
                 n[i, k] = v
         share = (n + 0.05) / (n.sum(axis=0) + 1)
         by_label = np.concatenate([np.log(share / share.mean(axis=1, keepdims=True)), np.zeros((1, share.shape[1]))]).astype(np.float32)
-        return cls(t3, g2, t2, g1, Arrays(words["c"].to_numpy().astype(np.uint64), words["p"].to_numpy()), 0.5 / max(types.n + types.words, 2), Arrays(w["b"].to_numpy().astype(np.uint64), np.arange(len(w))), by_label)
+        return cls(t3, g2, t2, g1, Arrays(_key(words["c"].to_numpy()), words["p"].to_numpy()), 0.5 / max(types.n + types.words, 2), Arrays(_key(w["b"].to_numpy()), np.arange(len(w))), by_label)
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
-        return self.t1.get(c, 0.0).astype(np.float64) * 0.95 + self.floor
+        return self.t1.get(_key(c), 0.0).astype(np.float64) * 0.95 + self.floor
 
     def trigram(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        p2 = self.t2.get(_key(b, c), 0.0) + self.g1.get(b, 1.0) * p1
-        return np.clip(self.t3.get(_key(a, b, c), 0.0) + self.g2.get(_key(a, b), 1.0) * p2, 1e-12, 1.0)
+        kb, kab = _key(b), _key(a, b)
+        p2 = self.t2.get(_longer(kb, c), 0.0) + self.g1.get(kb, 1.0) * p1
+        return np.clip(self.t3.get(_longer(kab, c), 0.0) + self.g2.get(kab, 1.0) * p2, 1e-12, 1.0)
 
     def language(self, c: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         """The index of the label whose words a text has most likely; -1 without labels or words."""
         if self.by_label.shape[0] == 1:
             return np.full(n, -1)
-        at = self.words.get(c, -1).astype(np.int64)
+        at = self.words.get(_key(c), -1).astype(np.int64)
         known = at >= 0
         score = np.stack([np.bincount(of[known], self.by_label[at[known], k], n) for k in range(self.by_label.shape[1])], axis=1)
         return np.where(np.bincount(of[known], minlength=n) > 0, score.argmax(axis=1), -1)
 
 
-def _earlier(key: np.ndarray) -> np.ndarray:
-    """For each element, how many equal ones stand before it."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    rank = np.arange(len(k)) - np.repeat(start, np.diff(np.concatenate([start, [len(k)]])))
-    out = np.empty(len(k), dtype=np.int64)
-    out[order] = rank
-    return out
-
-
-#: Weights of a text's own n-grams against the model's lowest order; each text takes its likeliest.
-MIXES = (0.0, 0.5, 0.9, 0.99)
+#: Weights of a text's own n-grams against the model's lowest order; each text takes its likeliest, or none.
+MIXES = (0.5, 0.9, 0.99)
 
 
 def bits(model: KneserNey, t: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -342,14 +406,17 @@ def bits(model: KneserNey, t: np.ndarray, own: np.ndarray, n: int) -> tuple[np.n
     p1 = model.unigram(c)
     plain = np.bincount(of, -np.log2(model.trigram(a, b, c, p1)), n)
     base = np.bincount(of, -np.log2(p1), n)
-    doc = _key(of.astype(np.uint64) + np.uint64(1), a, b)
-    r2, r3 = _earlier(doc), _earlier(_key(doc, c))
-    history = r3 / np.maximum(r2, 1)
-    best = base
-    for w in MIXES[1:]:
-        v = np.where(r2 > 0, w, 0.0)
-        best = np.minimum(best, np.bincount(of, -np.log2((1 - v) * p1 + v * history), n))
-    return np.bincount(of, minlength=n), plain, base, best, model.language(c, of, n)
+    context = _longer(_key(a, b), of + np.uint64(1))
+    r2, size = _earlier(context)
+    again = size > 1  # elsewhere the history says nothing
+    r2, r3 = r2[again], _earlier(_longer(context[again], c[again]))[0]
+    p, at, history = p1[again], of[again], r3 / np.maximum(r2, 1)
+    first = r2 == 0
+    history[first] = p[first]
+    saved = np.zeros(n)
+    for w in MIXES:
+        saved = np.maximum(saved, np.bincount(at, np.log2((1 - w) + w * history / p), n))
+    return np.bincount(of, minlength=n), plain, base, base - saved, model.language(c, of, n)
 
 
 SCORED = "tab string, id bigint, idx int, lang string, tokens int, bits double, ratio double, share double"
@@ -360,7 +427,7 @@ def scored(tokens: DataFrame, model: KneserNey, labels: list[str]) -> DataFrame:
     the model, and the bits with its own history against those of the lowest order."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, plain, base, own, lang = bits(model, *encoded(b), b.num_rows)
+        n, plain, base, own, lang = (np.concatenate(x) for x in zip(*(bits(model, *encoded(p), p.num_rows) for p in _parts(b, 300))))
         m = np.maximum(n, 1)
         names = [labels[k] if k >= 0 else "und" for k in lang.tolist()]
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tab", "id", "idx")), pa.array(names, pa.string()), pa.array(n, pa.int32()), pa.array(plain / m), pa.array(np.where(base > 0, own / np.maximum(base, 1e-9), 1.0)), b.column("share")], ["tab", "id", "idx", "lang", "tokens", "bits", "ratio", "share"])
