@@ -121,8 +121,8 @@ def _periods(a: np.ndarray) -> list[int]:
         parts = (_pairs(n, lo, hi) for lo, hi in zip(edges, edges[1:]))
     h = None
     for s, p in parts:
-        ok = np.flatnonzero(a[s] == a[s + p])
-        s, p = s[ok], p[ok]
+        ok = np.flatnonzero(a.take(s) == a.take(s + p))
+        s, p = s.take(ok), p.take(ok)
         ok = a[s + p - 1] == a[s + 2 * p - 1]
         s, p = s[ok], p[ok]
         if len(s):
@@ -134,9 +134,14 @@ def _periods(a: np.ndarray) -> list[int]:
     return out
 
 
-def units_of(folded: str) -> list[str]:
+def lines_of(folded: str) -> list[list[str]]:
+    """The lines of a text as runs without white space."""
+    return [x.split() for x in folded.split("\n")]
+
+
+def units_of(lines: list[list[str]]) -> list[str]:
     """Sentences, lines and table rows in order, without white space."""
-    t = "\n".join(" ".join(x.split()) for x in folded.split("\n"))
+    t = "\n".join(map(" ".join, lines))
     for mark in ".!?":
         t = t.replace(mark + " ", mark + "\n")
     if not t.isascii():
@@ -145,14 +150,14 @@ def units_of(folded: str) -> list[str]:
     return t.replace(" ", "").split("\n")
 
 
-def repeated_share(folded: str, least_unit: int = 8, repeats: int = 3) -> float:
-    """The share of the characters of a text of :func:`content`, without spaces, that are further copies.
+def repeated_share(lines: list[list[str]], least_unit: int = 8, repeats: int = 3) -> float:
+    """The share of the characters of the lines of a text, without white space, that are further copies.
 
     Copies of a whole sentence, line or table row of at least ``least_unit`` characters; and the further
     rounds of anything shorter that follows itself ``repeats`` times or more, over 8 characters at least.
     An empty text has none.
     """
-    units = units_of(folded)
+    units = units_of(lines)
     s = "".join(units)
     n = len(s)
     if not n:
@@ -195,11 +200,12 @@ def tokenised(rows: DataFrame) -> DataFrame:
         flat, sizes, share = [], [0], []
         get = _hashes.__getitem__
         for t in texts(b, "text"):
-            t = content(t)
-            for x in map(get, t.split()):
-                flat += x
+            lines = lines_of(content(t))
+            for line in lines:
+                for x in map(get, line):
+                    flat += x
             sizes.append(len(flat))
-            share.append(repeated_share(t))
+            share.append(repeated_share(lines))
         labels = pa.array([label_code(x) for x in b.column("lang").to_pylist()], pa.string())
         tokens = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.array(flat, dtype=np.int32)))
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tab", "id", "idx")), labels, b.column("copy"), pa.array(share, pa.float64()), tokens], ["tab", "id", "idx", "label", "copy", "share", "tokens"])
@@ -271,7 +277,7 @@ def gram_counts(tokens: DataFrame, labels: list[str]) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         cols: list[list[np.ndarray]] = []
-        for part in _parts(batch, 2_000):
+        for part in _parts(batch, 10_000):
             t, own = encoded(part)
             if len(t) < 3:
                 continue

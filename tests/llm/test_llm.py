@@ -82,6 +82,10 @@ def test_misreads():
 # 2 repetition
 
 
+def share(s: str) -> float:
+    return repetition.repeated_share(repetition.lines_of(repetition.content(s)))
+
+
 def brute_share(s: str) -> float:
     """Copies by trying every period at every place, for texts without units."""
     s = "".join(s.casefold().split())
@@ -102,23 +106,23 @@ def brute_share(s: str) -> float:
 @given(st.text("abc", min_size=1, max_size=5), st.integers(1, 12), st.text("defgh", max_size=12))
 def test_share_brute(unit, n, rest):
     s = rest + unit * n
-    assert repetition.repeated_share(s) == pytest.approx(brute_share(s))
+    assert share(s) == pytest.approx(brute_share(s))
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.text("ab", min_size=1, max_size=30), st.integers(1, 9)), min_size=1, max_size=9), st.sampled_from([1, 7]))
 def test_share_brute_long(parts, times):
     s = "".join(u * n for u, n in parts) * times
-    assert repetition.repeated_share(s) == pytest.approx(brute_share(s))
+    assert share(s) == pytest.approx(brute_share(s))
 
 
 def test_share_over_the_short_limit(monkeypatch):
     r = random.Random(15)
     for _ in range(10):
         s = "".join("".join(r.choices("abc", k=r.randint(1, 25))) * r.randint(1, 6) for _ in range(12))
-        want = repetition.repeated_share(s)
+        want = share(s)
         monkeypatch.setattr(repetition, "_SHORT", 10)
-        assert repetition.repeated_share(s) == want == pytest.approx(brute_share(s))
+        assert share(s) == want == pytest.approx(brute_share(s))
         monkeypatch.undo()
 
 
