@@ -88,6 +88,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that look like others stored differently, with their class and stored form."""
+    return lookalike.lookalike_classes(table(spark, d, "documents"))
+
+
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     """The one form of every document's text."""
     return lookalike.canonical_texts(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "form", "changed")

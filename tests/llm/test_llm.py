@@ -227,7 +227,7 @@ def test_hot_cut_copies(spark):
 # 5 look-alikes
 
 
-@pytest.mark.parametrize("a,b", [("ｃａｔ", "cat"), ("caf\u0065\u0301", "café"), ("wa\u200bter", "water"), ("a\u00a0b", "a b"), ("Mоscow harbour", "Moscow harbour"), ("한글", "한글"), ("ﬁne", "fine")])
+@pytest.mark.parametrize("a,b", [("ｃａｔ", "cat"), ("caf\u0065\u0301", "café"), ("wa\u200bter", "water"), ("a\u00a0b", "a b"), ("Mоscow harbour", "Moscow harbour"), ("hаrbօur", "harbour"), ("𝐩lain", "plain"), ("スピードニ倍", "スピード二倍"), ("한글", "한글"), ("ﬁne", "fine")])
 def test_same_look(a, b):
     assert lookalike.canonical(a) == lookalike.canonical(b)
 
@@ -237,6 +237,18 @@ def test_other_look(a, b):
     assert lookalike.canonical(a) != lookalike.canonical(b)
 
 
+@pytest.mark.parametrize("t", ["スピード二倍", "カメラ八台", "メートル一つ", "データ分析", "センター長", "努力が", "三カ国", "工場", "コーヒーを", "第二章", "二メートル", "力学", "アメリカ人", "ν=2", "{α}"])
+def test_ordinary_text_stays(t):
+    assert lookalike.canonical(t) == t
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("カ力ニ二ー一ハ八ルド倍つをの月", max_size=12), st.randoms())
+def test_one_look_one_form(t, r):
+    other = "".join(r.choice((lookalike._KATAKANA[c], lookalike._IDEOGRAPH[c])) if c in lookalike._KATAKANA else c for c in t)
+    assert lookalike.canonical(t) == lookalike.canonical(other)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=30))
 def test_canonical_is_stable(t):
@@ -249,6 +261,9 @@ def test_pairs(spark):
     df = spark.createDataFrame(data, "doc_id bigint, text string, form_key string")
     assert sorted(tuple(r) for r in lookalike.lookalike_pairs(df).collect()) == [(1, 2), (2, 3)]
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
+    got = {tuple(x) for x in lookalike.lookalike_classes(df).collect()}
+    assert got == {(1, 1, 1, 2), (3, 1, 1, 2), (2, 1, 2, 2)}
+    assert lookalike.lookalike_classes(df.limit(0)).count() == 0
 
 
 # 6 leaks
