@@ -287,11 +287,41 @@ def test_leaks(spark):
     got = {(x.doc_id, x.case_id) for x in leaks.leaks(d, c).collect()}
     assert got == {(60, 100), (61, 100), (62, 100)}
     assert leaks.leaks(d.limit(0), c).count() == 0 and leaks.leaks(d, c.limit(0)).count() == 0
-    # brute force: the planted documents aligned with every case, without the filter
-    brute = {(i, 100 + k) for i, t in enumerate(docs) if i >= 60 for k, ct in enumerate(cases) if leaks.longest_run(leaks.words(t), leaks.words(ct)) >= 0.6 * len(leaks.words(ct))}
+    # brute force: all documents aligned with all cases, without the filter
+    brute = {(i, 100 + k) for i, t in enumerate(docs) for k, ct in enumerate(cases) if leaks.longest_run(leaks.words(t), leaks.words(ct)) >= 0.5 * len(leaks.words(ct))}
     assert brute == got
 
 
+def test_filter_keeps_the_worst_half():
+    """Halves with every sixth word replaced, across a page break, reach the bound of their case."""
+    r = random.Random(16)
+    vocabulary = ["".join(r.choices("abcdefghijklmnopqrstuvwxy", k=r.randint(2, 9))) for _ in range(400)]
+    cases = [r.choices(vocabulary, k=n) for n in (9, 14, 30, 60, 90) for _ in range(4)]
+    cases.append(["".join(r.choices("aeiou", k=1)) for _ in range(40)])
+    known = leaks.Cases(list(range(len(cases))), [" ".join(x) for x in cases])
+    tried = kept = 0
+    for c, w in enumerate(cases):
+        for _ in range(6):
+            half = (len(w) + 1) // 2
+            at = r.randint(0, len(w) - half)
+            run = [x if (i + at) % 6 else "qqqq" for i, x in enumerate(w[at : at + half])]
+            mid = half // 2 if half >= 12 else 0
+            filler = [r.choices(vocabulary, k=40) for _ in range(2)]
+            text = " ".join(filler[0] + run[:mid]) + ("\n- 12 -\nHarbour Journal of Velmor\n" if mid else " ") + " ".join(run[mid:] + filler[1])
+            got = {(x, n) for _, x, n in leaks._search(known, [text])}
+            tried, kept = tried + 1, kept + any(x == c and n >= 0.5 * len(w) - 2 for x, n in got)
+            assert any(x == c and n >= 0.5 * len(w) - 2 for _, x, n in leaks._search(known, [text], exact=True))
+    assert kept >= 0.9 * tried
+
+
+def test_very_short_and_long_cases():
+    r = random.Random(17)
+    long = " ".join(sentence(r) for _ in range(4000))
+    known = leaks.Cases([1, 2], ["To be", long])
+    docs = ["x to be y", "To, be", "tobe", long[len(long) // 2 - 100 :]]
+    assert {(d, c) for d, c, n in leaks._search(known, docs) if n >= 0.5 * len(known.words[c])} >= {(0, 0), (1, 0), (3, 1)}
+
+
 # 7 mixing
 
 
