@@ -15,6 +15,19 @@ def iou(a: Column, b: Column) -> Column:
     return F.when((w * h > 0) & (union > 0), w * h / F.greatest(union, F.lit(1e-12))).otherwise(0.0)
 
 
+def strict_iou(a: Column, b: Column) -> Column:
+    """Intersection over union where boxes that only touch do not overlap; tiny unions do not divide by zero."""
+    w, h = F.least(a.x1, b.x1) - F.greatest(a.x0, b.x0), F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0)
+    area = lambda x: (x.x1 - x.x0) * (x.y1 - x.y0)
+    return F.when((w > 0) & (h > 0), w * h / F.greatest(F.lit(1e-6), area(a) + area(b) - w * h)).otherwise(0.0)
+
+
+def css(box: Column) -> Column:
+    """A box as its place and size in per cent."""
+    part = lambda name, v: F.concat(F.lit(f"{name}:"), (v / 10).cast("string"), F.lit("%"))
+    return F.concat_ws(";", part("left", box.x0), part("top", box.y0), part("width", box.x1 - box.x0), part("height", box.y1 - box.y0))
+
+
 def to_pixels(v: Column, size: Column) -> Column:
     """A coordinate in whole pixels, cut towards zero."""
     return (v / 1000 * size).cast("int")

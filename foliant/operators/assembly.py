@@ -1,15 +1,20 @@
-"""Assembly of pages: Markdown, page furniture, filling, comparison of two readings, run control."""
+"""Parts of assembly: page furniture, comparison of two readings, tests, run control.
+
+Whole pages are put together in :mod:`foliant.operators.pages`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
 
-from foliant.functions import text as T
-from foliant.operators import layout, tables
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-FURNITURE = ("Page-header", "Page-footer")
-#: Labels that never fill a page's body.
-NO_BODY = ("Table", "Page-header", "Page-footer", "Picture", "Formula")
+from foliant.functions import plain, text as T
+from foliant.operators import tables
+from foliant.operators.pages import FURNITURE
+from foliant.sources.ship import ship
+from foliant.sources.tables import checkpointed
 
 
 def with_readings(elements: DataFrame, traces: DataFrame) -> DataFrame:
@@ -23,27 +28,6 @@ def ordered(parts: str, order: str = "elem_idx", sep: str = "\n\n") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, parts))), lambda x: x[parts]), sep)
 
 
-def to_markdown(elements: DataFrame, traces: DataFrame) -> DataFrame:
-    """``(page_id, md)``: a page's elements in order as Markdown; furniture is left out, tables are HTML."""
-    e = with_readings(elements, traces)
-    h = tables.to_html(tables.spans(tables.cells(e.filter("label = 'Table'").select("page_id", "elem_idx", F.col("text").alias("raw")))))
-    e = e.join(h, ["page_id", "elem_idx"], "left")
-    t, label = F.trim("text"), F.col("label")
-    part = (
-        F.when(label == "Picture", "![Picture]()")
-        .when(label == "Table", F.coalesce("html", F.lit("")))
-        .when(label == "Table_html", t)
-        .when(label == "Formula", F.concat(F.lit("$$\n"), t, F.lit("\n$$")))
-        .when(label == "Caption", F.concat(F.lit("*"), t, F.lit("*")))
-        .when(label == "Title", F.concat(F.lit("# "), t))
-        .when(label == "Section-header", F.concat(F.lit("## "), t))
-        .when(label == "List-item", F.concat(F.lit("- "), t))
-        .otherwise(t)
-    )
-    e = e.filter(~label.isin(*FURNITURE)).select("page_id", "elem_idx", part.alias("part")).filter("trim(part) <> ''")
-    return e.groupBy("page_id").agg(ordered("part").alias("md"))
-
-
 def furniture_overlap(elements: DataFrame) -> DataFrame:
     """``(page_id, elem_idx, furniture)``: elements of the body that repeat the page's header or footer.
 
@@ -52,29 +36,11 @@ def furniture_overlap(elements: DataFrame) -> DataFrame:
     k = elements.withColumn("k", T.plain_key(F.col("text")))
     hf = k.filter(F.col("label").isin(*FURNITURE) & (F.length("k") >= 4)).select("page_id", F.col("k").alias("h"))
     body = k.filter(~F.col("label").isin(*FURNITURE) & (F.length("k") > 0)).select("page_id", "elem_idx", "k")
-    j = body.join(hf, "page_id").filter(F.length("k") <= 1.6 * F.length("h"))
-    same = (T.overlap(F.col("h"), F.col("k")) >= 0.6) | F.contains("k", F.col("h"))
+    j = body.join(hf, "page_id")
+    same = (F.length("k") <= 1.6 * F.length("h")) & ((T.overlap(F.col("h"), F.col("k")) >= 0.6) | F.contains("k", F.col("h")))
     return j.groupBy("page_id", "elem_idx").agg(F.bool_or(same).alias("furniture"))
 
 
-def body_fill(elements: DataFrame, pages: DataFrame) -> DataFrame:
-    """``(page_id, filled, chars)``: elements of the body, in order, that the page's text ``(page_id, md)`` lacks.
-
-    Each is compared, without white space, with the page's text and what was filled before it.
-    """
-    e = elements.filter(~F.col("label").isin(*NO_BODY) & (F.trim(T.text_of(F.col("text"))) != ""))
-    g = e.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("elem_idx", "text"))), lambda x: x.text).alias("ts"))
-    g = g.join(pages, "page_id", "left").withColumn("s0", T.squash(F.col("md")))
-    start = F.struct(F.col("s0").alias("s"), F.lit(0).alias("n"), F.lit(0).alias("c"))
-
-    def step(a, t):
-        k = F.regexp_replace(t, r"\s+", "")
-        return F.when(F.contains(a.s, k), a).otherwise(F.struct(F.concat(a.s, k).alias("s"), (a.n + 1).alias("n"), (a.c + F.length(t)).alias("c")))
-
-    r = F.aggregate("ts", start, step)
-    return g.select("page_id", r.n.alias("filled"), r.c.alias("chars"))
-
-
 def table_ranks(elements: DataFrame, traces: DataFrame, pages: DataFrame) -> DataFrame:
     """``(page_id, elem_idx, block_idx)``: the k-th unsound table of a page and the k-th table block of its text."""
     bad = tables.validate(traces.filter("label = 'Table'").groupBy("page_id", "elem_idx").agg(F.min("raw").alias("raw"))).filter("hard").select("page_id", "elem_idx")
@@ -108,15 +74,16 @@ def pending(pages: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def sharded(pages: DataFrame, shards: int) -> DataFrame:
-    """``(page_id, shard)``: every ``shards``-th path, by a rank over ranges of paths, without one sorted task.
+    """``(page_id, shard)``: every ``shards``-th path in order.
 
-    Paths are ranked within the leading directory, then the directories' counts are summed up.
+    Paths are parted into ranges, written once so that the ranges stay as they are; the ranges' counts are summed
+    up (a row for each range), and paths are ranked within their range.
     """
-    p = pages.withColumn("dir", F.substring_index("path", "/", 2))
-    n = p.groupBy("dir").agg(F.count("*").alias("n"))
-    base = n.select("dir", F.coalesce(F.sum("n").over(W.orderBy("dir").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = F.row_number().over(W.partitionBy("dir").orderBy("path")) - 1
-    return p.join(base, "dir").select("page_id", ((rank + F.col("base")) % shards).cast("int").alias("shard"))
+    p = checkpointed(pages.select("page_id", "path").repartitionByRange("path").withColumn("part", F.spark_partition_id()))
+    n = p.groupBy("part").agg(F.count("*").alias("n"))
+    base = n.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rank = F.row_number().over(W.partitionBy("part").orderBy("path")) - 1
+    return p.join(F.broadcast(base), "part").select("page_id", ((rank + F.col("base")) % shards).cast("int").alias("shard"))  # a row for each range
 
 
 def trace_facts(traces: DataFrame) -> DataFrame:
@@ -130,11 +97,39 @@ def replay(jobs: DataFrame, traces: DataFrame) -> DataFrame:
     return jobs.join(t, ["page_id", "elem_idx"], "left").select("page_id", "elem_idx", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("stop", F.lit("")).alias("stop"), F.col("text").isNull().alias("error"))
 
 
-def edge_lines(pages: DataFrame, edge: int = 6) -> DataFrame:
-    """``(page_id, pos, line)``: lines among the first and last ``edge`` of a page that are page numbers."""
-    ls = pages.select("page_id", F.posexplode(F.filter(F.split("md", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
-    n = F.count("*").over(W.partitionBy("page_id"))
-    return ls.withColumn("n", n).filter(((F.col("pos") < edge) | (F.col("pos") >= F.col("n") - edge)) & T.is_page_number(F.col("line")) & ~F.contains("line", F.lit("|"))).select("page_id", "pos", "line")
+# What the outer lines of a page lose: numbers with signs about them or as parts of a whole, dates
+# alone, and short labels in Latin letters.
+EDGE_NUMBER = r"^[\s|•·\-–—]*(?:\d{1,4}(?:\s*/\s*\d{1,4})?|[ivxlcIVXLC]{1,6})[\s|•·\-–—]*$"
+EDGE_DATE = r"^\s*\d{4}\s*[.\-/]\s*\d{1,2}\s*[.\-/]\s*\d{1,2}\s*\.?\s*(?:기준)?\s*$"
+EDGE_LABEL = r"^\s*[A-Z][A-Za-z]*(?:\s*:?\s+[A-Z][A-Za-z]*){0,3}\s*$"
+
+
+def edge_lines(pages: DataFrame, edge: int = 6, numbers_only: bool = False, longest: int = 45) -> DataFrame:
+    """``(page_id, pos, line)``: lines among the first and last ``edge`` of a page that are furniture by their form:
+    page numbers and, without ``numbers_only``, dates and short labels.
+
+    Lines within a table, over ``longest`` characters, or with a bar, unless they are a page number, are none.
+    Blank lines do not count.
+    """
+    ls = pages.select("page_id", F.posexplode(F.filter(F.split("md", "\n"), lambda x: F.length(T.strip(x)) > 0)).alias("pos", "line"))
+    so_far = W.partitionBy("page_id").orderBy("pos")
+    opens = F.size(F.regexp_extract_all(F.lower("line"), F.lit("<table"), F.lit(0)))
+    closes = F.size(F.regexp_extract_all(F.lower("line"), F.lit("</table>"), F.lit(0)))
+    ls = ls.withColumn("n", F.count("*").over(W.partitionBy("page_id"))).withColumn("inside", F.sum(opens - closes).over(so_far) + closes)
+    number = T.is_page_number(F.col("line")) | F.col("line").rlike(EDGE_NUMBER)
+    form = T.is_page_number(F.col("line")) if numbers_only else number | F.col("line").rlike(EDGE_DATE) | F.col("line").rlike(EDGE_LABEL)
+    bar = F.contains("line", F.lit("|")) & (F.lit(numbers_only) | ~number)
+    kept = form & ~bar & (F.col("inside") <= 0) & (F.length(T.squash(F.col("line"))) <= longest)
+    return ls.filter(((F.col("pos") < edge) | (F.col("pos") >= F.col("n") - edge)) & kept).select("page_id", "pos", "line")
+
+
+def without_edge_lines(pages: DataFrame, edge: int = 6) -> DataFrame:
+    """``(page_id, md)``: texts without page numbers first, then, looking further in, without the other furniture."""
+    for numbers_only in (True, False):
+        ls = pages.select("page_id", F.posexplode(F.filter(F.split("md", "\n"), lambda x: F.length(T.strip(x)) > 0)).alias("pos", "line"))
+        kept = ls.join(edge_lines(pages, edge, numbers_only).select("page_id", "pos"), ["page_id", "pos"], "left_anti")
+        pages = kept.groupBy("page_id").agg(ordered("line", "pos", "\n").alias("md"))
+    return pages
 
 
 def leading_headers(grid: DataFrame) -> DataFrame:
@@ -143,58 +138,127 @@ def leading_headers(grid: DataFrame) -> DataFrame:
     return grid.groupBy("page_id", "elem_idx", "row").agg(F.coalesce(F.min(F.when(number, F.col("col"))), F.count("*")).cast("int").alias("headers"))
 
 
-def merged_pages(elements: DataFrame, traces: DataFrame, pages: DataFrame, place: str = "replace", least: int = 8, width: int = 1400, height: int = 1980) -> DataFrame:
-    """``(page_id, md, by_block, appended)``: the page's text with the tables of its elements.
+def block_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(page_id, first, second, both)``: blocks of two readings ``(page_id, block)``, and of the first those that the
+    second has by key."""
+    k = lambda df, side: df.select("page_id", T.block_key(F.col("block")).alias("k"), F.lit(side).alias("side"))
+    by = k(a, 0).unionByName(k(b, 1)).groupBy("page_id", "k").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    return by.groupBy("page_id").agg(F.sum("a").alias("first"), F.sum("b").alias("second"), F.sum(F.when(F.col("b") > 0, F.col("a")).otherwise(0)).alias("both"))
+
+
+def renumbered(elements: DataFrame) -> DataFrame:
+    """``(page_id, elem_idx, n)``: the elements of a page numbered anew from 0, without gaps."""
+    return elements.select("page_id", "elem_idx", (F.row_number().over(W.partitionBy("page_id").orderBy("elem_idx")) - 1).alias("n"))
+
+
+def confusions(pairs: DataFrame) -> DataFrame:
+    """``(wrong, right, n)``: what was read for what in the aligned pairs ``(read, meant)``.
+
+    Replacements of the shortest edit of each pair, white space apart; summed up in each batch before the shuffle.
+    """
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n: Counter = Counter()
+            for x, y in zip(b.column("read").to_pylist(), b.column("meant").to_pylist()):
+                x, y = plain.squash(x or ""), plain.squash(y or "")
+                if x != y:
+                    for op, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+                        if op == "replace":
+                            n[x[i:j], y[k:m]] += 1
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n]), pa.array([k[1] for k in n]), pa.array(list(n.values()), pa.int64())], ["wrong", "right", "n"])
+
+    ship(pairs.sparkSession)
+    return pairs.select("read", "meant").mapInArrow(run, "wrong string, right string, n bigint").groupBy("wrong", "right").agg(F.sum("n").alias("n"))
+
+
+def within(text: str, key: str, most: int) -> bool:
+    """Whether a text holds a key with at most ``most`` characters altered, put in or left out.
 
-    Furniture blocks leave the text. With ``replace`` the k-th usable table, from top to bottom, takes the
-    place of the k-th table block; all others, or with ``append`` all, follow at the end. A table is usable
-    unless it is tiny, empty or failed softly.
+    Of ``most`` + 1 pieces of the key one stands in the text as it is; around each such place the key is aligned.
     """
-    t = traces.filter("label = 'Table'").groupBy("page_id", "elem_idx").agg(F.min("raw").alias("raw"))
-    v = tables.validate(t).filter("(ok or hard) and reason <> 'empty'").select("page_id", "elem_idx")
-    big = ((F.col("x1") - F.col("x0")) / 1000 * width >= least) & ((F.col("y1") - F.col("y0")) / 1000 * height >= least)
-    e = elements.filter("label = 'Table'").filter(big).select("page_id", "elem_idx", "y0").distinct()
-    use = e.join(v, ["page_id", "elem_idx"]).join(tables.to_html(tables.spans(tables.cells(t))), ["page_id", "elem_idx"])
-    use = use.withColumn("k", F.row_number().over(W.partitionBy("page_id").orderBy("y0", "elem_idx"))).select("page_id", "k", "html")
-
-    b = pages.select("page_id", F.posexplode(T.blocks(F.col("md"))).alias("pos", "block"))
-    hf = elements.filter(F.col("label").isin(*FURNITURE)).select("page_id", T.plain_key(F.col("text")).alias("h")).filter(F.length("h") >= 4).groupBy("page_id").agg(F.collect_set("h").alias("hs"))
-    b = b.join(hf, "page_id", "left").withColumn("nb", T.plain_key(F.col("block"))).withColumn("last", F.max("pos").over(W.partitionBy("page_id")))
-    repeats = F.exists(F.coalesce("hs", F.array().cast("array<string>")), lambda h: (F.length("nb") > 0) & (F.length("nb") <= 1.6 * F.length(h)) & ((T.overlap(h, F.col("nb")) >= 0.6) | F.contains(F.col("nb"), h)))
-    edge = ((F.col("pos") == 0) | (F.col("pos") == F.col("last"))) & T.is_page_number(F.col("block"))
-    b = b.filter(~repeats & ~edge).select("page_id", "pos", "block", T.looks_like_table(F.col("block")).alias("is_table"))
-    b = b.withColumn("k", F.when(F.col("is_table") & F.lit(place == "replace"), F.row_number().over(W.partitionBy("page_id", "is_table").orderBy("pos"))))
-
-    j = b.join(use, ["page_id", "k"], "full")
-    order = F.struct(F.when(F.col("pos").isNull(), 1).otherwise(0).alias("end"), F.coalesce("pos", "k").alias("at"), F.coalesce("html", "block").alias("part"))
-    g = j.groupBy("page_id").agg(F.array_sort(F.collect_list(order)).alias("parts"), F.count_if(F.col("html").isNotNull() & F.col("pos").isNotNull()).alias("by_block"), F.count_if(F.col("html").isNotNull() & F.col("pos").isNull()).alias("appended"))
-    return g.select("page_id", F.array_join(F.transform("parts", lambda x: x.part), "\n\n").alias("md"), "by_block", "appended")
-
-
-def filled_bands(elements: DataFrame, pages: DataFrame, known: float = 0.75) -> DataFrame:
-    """``(page_id, b0, block)``: the k-th uncovered band of a page takes the k-th block of its text that is new.
-
-    A block is new if under ``known`` of its 3-grams stand in the text of the page's elements; tables are not.
+    if not key or most >= len(key):
+        return True
+    size = len(key) // (most + 1)
+    for p in range(most + 1):
+        lo = p * size
+        piece = key[lo : lo + size if p < most else len(key)]
+        at = text.find(piece)
+        while at >= 0:
+            part = text[max(0, at - lo - most) : at - lo + len(key) + most]
+            row = [0] * (len(part) + 1)  # the key may begin and end anywhere in the part
+            for i, x in enumerate(key, 1):
+                new = [i]
+                for j, y in enumerate(part, 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+                row = new
+            if min(row) <= most:
+                return True
+            at = text.find(piece, at + 1)
+    return False
+
+
+def present_cases(docs: DataFrame, cases: DataFrame) -> DataFrame:
+    """``(case_id)`` of the cases ``(case_id, text, max_diffs)`` that stand, white space apart, in some text ``(text)``.
+
+    The cases are the stated query set, of fixed size; each task looks for all of them in its texts. A null
+    ``max_diffs`` is 0; null texts hold nothing.
     """
-    all_ = elements.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("elem_idx", T.text_of(F.col("text")).alias("t")))), lambda x: x.t), " ").alias("all"))
-    b = pages.select("page_id", F.posexplode(T.blocks(F.col("md"))).alias("pos", "block")).filter(~T.looks_like_table(F.col("block")))
-    b = b.join(all_, "page_id").filter(T.overlap(T.plain_key(F.col("block")), T.plain_key(F.col("all"))) < known)
-    b = b.withColumn("k", F.row_number().over(W.partitionBy("page_id").orderBy("pos"))).select("page_id", "k", "block")
-    gaps = layout.bands(elements).withColumn("k", F.row_number().over(W.partitionBy("page_id").orderBy("b0")))
-    return gaps.join(b, ["page_id", "k"]).select("page_id", "b0", "block")
+    known = [(r.case_id, plain.squash(r.text or ""), r.max_diffs or 0) for r in cases.select("case_id", "text", "max_diffs").collect()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = dict.fromkeys(range(len(known)))
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                t = plain.squash(t or "")
+                for k in [k for k in left if known[k][1] in t or known[k][2] and within(t, known[k][1], known[k][2])]:
+                    del left[k]
+        found = [known[k][0] for k in range(len(known)) if k not in left]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["case_id"])
 
-def bootstrap(scores: DataFrame, replicates: int = 200, seed: int = 1) -> DataFrame:
-    """``(mean, low, high)``: mean of ``score`` over pages with a 95 % interval.
+    ship(docs.sparkSession)
+    return docs.select("text").mapInArrow(run, "case_id bigint").distinct()
 
-    Each page is drawn a Poisson number of times in each replicate, from a hash of page, replicate and
-    seed: sums are built where the pages lie, ``replicates`` rows are shuffled.
+
+def table_cases(cells: DataFrame, cases: DataFrame) -> DataFrame:
+    """``(case_id, cell, related)``: whether some table holds the case's cell, and with its headings: the left one
+    before it in its row, the top one above it in its column. ``cells`` are those of :func:`tables.cells`.
+
+    The cases, of fixed size, are sent to every task.
+    """
+    c = F.broadcast(cases.select("case_id", T.squash(F.col("text")).alias("k"), T.squash(F.col("left_heading")).alias("l"), T.squash(F.col("top_heading")).alias("t")))
+    g = cells.select("page_id", "elem_idx", "row", "col", T.squash(F.col("text")).alias("k"))
+    hit = g.join(c, "k")
+    heads = g.select("page_id", "elem_idx", F.col("row").alias("hr"), F.col("col").alias("hc"), F.col("k").alias("h"))
+    j = hit.join(heads, ["page_id", "elem_idx"], "left")
+    left = (F.col("hr") == F.col("row")) & (F.col("hc") < F.col("col")) & (F.col("h") == F.col("l"))
+    top = (F.col("hc") == F.col("col")) & (F.col("hr") < F.col("row")) & (F.col("h") == F.col("t"))
+    one = j.groupBy("case_id", "page_id", "elem_idx", "row", "col").agg((F.bool_or(left | (F.col("l") == "")) & F.bool_or(top | (F.col("t") == ""))).alias("related"))
+    by = one.groupBy("case_id").agg(F.lit(True).alias("cell"), F.bool_or("related").alias("related"))
+    return cases.select("case_id").join(by, "case_id", "left").select("case_id", F.coalesce("cell", F.lit(False)).alias("cell"), F.coalesce("related", F.lit(False)).alias("related"))
+
+
+def bootstrap(scores: DataFrame, replicates: int = 2000, seed: int = 1) -> DataFrame:
+    """``(mean, low, high, accept)``: mean of ``score`` over pages with a 95 % interval; accepted if that lies above 0.
+
+    Each page is drawn a Poisson number of times in each replicate, from a hash of page, replicate and seed: sums
+    are built where the pages lie, ``replicates`` rows are shuffled.
     """
-    u = (F.pmod(F.xxhash64("page_id", "rep", F.lit(seed)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
-    w = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
+    import math
+
+    u = (F.pmod(F.xxhash64("page_id", "rep", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    edges, p, total = [], math.exp(-1), 0.0
+    for k in range(13):  # beyond 2 ** -30 no draw lies
+        total += p
+        edges.append(total)
+        p /= k + 1
+    w = sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
     r = scores.select("page_id", "score", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("w", w)
     m = r.groupBy("rep").agg((F.sum(F.col("score") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"), F.avg("score").alias("plain"))
-    return m.agg(F.first("plain").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return m.agg(F.first("plain").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")).withColumn("accept", F.col("low") > 0)
 
 
 def churn(before: DataFrame, after: DataFrame) -> DataFrame:

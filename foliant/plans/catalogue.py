@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from foliant.functions import text as T
-from foliant.operators import assembly, layout, tables
-from foliant.sources.tables import table
+from foliant.operators import assembly, layout, pages, tables
+from foliant.sources import diagnostics
+from foliant.sources.tables import elements, table
 
 _SPARK: dict = {}
 _SQL: dict[str, str] = {}
@@ -23,22 +24,63 @@ def _query(sql: str | None = None):
 
 
 def _el(s: SparkSession, d: str) -> DataFrame:
-    """Elements; an element delivered twice is one row, since only times of arrival differ."""
-    return table(s, d, "page_element").select("page_id", "elem_idx", "label", *(F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")), "text", "from_band", "volume_id").distinct()
+    """Elements, the first delivery of each."""
+    return elements(s, d).select("page_id", "elem_idx", "label", *(F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")), "text", "from_band", "volume_id")
 
 
 def _tr(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "layout").select("page_id", "elem_idx", "label", "raw", "html", "stop").distinct()
+    """Traces, one for each element; a trace delivered twice is the same."""
+    rest = ("label", "raw", "html", "stop")
+    return table(s, d, "layout").groupBy("page_id", "elem_idx").agg(F.min(F.struct(*rest)).alias("r")).select("page_id", "elem_idx", "r.*")
+
+
+def _tables(s: SparkSession, d: str) -> DataFrame:
+    return _tr(s, d).filter("label = 'Table'")
 
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
-    return tables.cells(_tr(s, d).filter("label = 'Table'"))
+    return tables.cells(_tables(s, d))
+
+
+def _sizes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "page_image").select("page_id", "width", "height")
+
+
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    """Elements of the first pass over a page, before bands were read again."""
+    return _el(s, d).filter("not coalesce(from_band, false)")
 
 
 def _md(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("md"))
 
 
+# White space and trimming as DuckDB writes them; Spark's come from the text functions.
+WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _squash(c: str) -> str:
+    return f"regexp_replace({c}, '{WS}+', '', 'g')"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{WS}+', ''), '{WS}+$', '')"
+
+
+def _plain(c: str) -> str:
+    return f"lower({_squash(f"regexp_replace({c}, '^[#>*|:{WS[1:-1]}-]+|[*_`]+', '', 'g')")})"
+
+
+def _block(c: str) -> str:
+    return f"lower({_squash(f"regexp_replace({c}, '[#*`>|-]', '', 'g')")})"
+
+
+def _share(short: str, long: str) -> str:
+    """The share of the 3-grams of one key in another."""
+    g = f"list_distinct(list_transform(range(1, greatest(length({short}) - 1, 1)), lambda i: {short}[i:i+2]))"
+    return f"CASE WHEN length({short}) < 3 THEN CASE WHEN length({short}) > 0 AND contains({long}, {short}) THEN 1.0 ELSE 0.0 END ELSE len(list_filter({g}, lambda x: contains({long}, x)))::DOUBLE / len({g}) END"
+
+
 EL = "el AS (SELECT DISTINCT page_id, elem_idx, label, box.x0 AS x0, box.y0 AS y0, box.x1 AS x1, box.y1 AS y1, text, from_band, volume_id FROM page_element)"
 TR = "tr AS (SELECT DISTINCT page_id, elem_idx, label, raw, html, stop FROM layout)"
 RE4 = r"(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)"
@@ -159,7 +201,7 @@ sp AS (SELECT page_id, elem_idx, CAST("row" AS INT) AS "row", CAST(col AS INT) A
 @_query(f"WITH {TR}, {CELLS}, {SPANS} SELECT * FROM sp")
 def otsl_spans(s, d):
     """Origin cells with their spans."""
-    return tables.spans(_grid(s, d))
+    return tables.spans(_tables(s, d))
 
 
 HTML = """hc AS (SELECT page_id, elem_idx, "row", string_agg('<' || CASE kind WHEN 'c' THEN 'th' ELSE 'td' END || CASE WHEN rowspan > 1 THEN ' rowspan="' || rowspan || '"' ELSE '' END || CASE WHEN colspan > 1 THEN ' colspan="' || colspan || '"' ELSE '' END || '>' ||
@@ -170,7 +212,7 @@ ht AS (SELECT page_id, elem_idx, '<table>' || string_agg('<tr>' || r || '</tr>',
 @_query(f"WITH {TR}, {CELLS}, {SPANS}, {HTML} SELECT * FROM ht")
 def otsl_to_html(s, d):
     """HTML of cell-token strings."""
-    return tables.to_html(tables.spans(_grid(s, d)))
+    return tables.to_html(_tables(s, d))
 
 
 VAL = r"""va AS (SELECT page_id, elem_idx, raw, CASE WHEN trim(string_split(raw, '<nl>')[-1]) = '' THEN string_split(raw, '<nl>')[:-2] ELSE string_split(raw, '<nl>') END AS r FROM tr WHERE label = 'Table'),
@@ -184,7 +226,7 @@ ve AS (SELECT page_id, elem_idx, CASE WHEN trim(coalesce(raw, '')) = '' THEN 'em
 @_query(f"WITH {TR}, {VAL} SELECT page_id, elem_idx, reason = '' AS ok, reason, reason IN ('truncated','row_len_inconsistent','no_html_cells','empty') AS hard FROM ve")
 def validate_tables(s, d):
     """Whether recorded tables are sound."""
-    return tables.validate(_tr(s, d).filter("label = 'Table'"))
+    return tables.validate(_tables(s, d))
 
 
 @_query(f"WITH {TR}, {VAL} SELECT reason, count(*) AS tables FROM ve GROUP BY 1")
@@ -219,69 +261,141 @@ def page_numbers(s, d):
     return _md(s, d).select("page_id", F.posexplode(F.split("md", "\n")).alias("pos", "line")).filter(T.is_page_number(F.col("line"))).select("page_id", "pos")
 
 
-@_query(r"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '^[#>*\-\s|:]+|[*_`]+', '', 'g'), '\s+', '', 'g'))) AS key FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')")
+@_query(f"SELECT doc_id, md5({_plain('text')}) AS key FROM documents")
 def norm_text(s, d):
-    """Comparison keys of texts in ASCII."""
-    return table(s, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.md5(T.plain_key(F.col("text"))).alias("key"))
+    """Comparison keys of all texts."""
+    return table(s, d, "documents").select("doc_id", F.md5(T.plain_key(F.col("text"))).alias("key"))
 
 
-@_query()
+@_query(f"SELECT doc_id, md5({_squash('text')}) AS squashed, md5({_block('text')}) AS block, md5({_block("regexp_replace(text, '<[^>]+>', '', 'g')")}) AS bare FROM documents")
+def text_keys(s, d):
+    """The other keys of all texts: without white space, of blocks, and of blocks without tags."""
+    t = F.col("text")
+    return table(s, d, "documents").select("doc_id", F.md5(T.squash(t)).alias("squashed"), F.md5(T.block_key(t)).alias("block"), F.md5(T.bare_key(t)).alias("bare"))
+
+
+@_query(r"SELECT doc_id, regexp_matches(text, '<table|\|\s*[^|\n]+\s*\||<fcel>|<ched>') AS tabular FROM documents")
+def table_hint(s, d):
+    """Texts that look like a table."""
+    return table(s, d, "documents").select("doc_id", T.looks_like_table(F.col("text")).alias("tabular"))
+
+
+_UNBRACE = "regexp_replace({}, '\\{{([^{{}}]*)\\}}', '\\1', 'g')"
+
+
+def _formula() -> str:
+    t = r"regexp_replace(u, '^\s*\(\s*\d+[a-z]?\s*\)\s*(?:\\quad|\\qquad|~)?\s*', '')"
+    for x, y in (("\\lbrack", "["), ("\\rbrack", "]"), ("\\left", ""), ("\\right", "")):
+        t = f"replace({t}, '{x}', '{y}')"
+    t = f"regexp_replace({t}, '(\\\\begin\\{{(?:array|tabular)\\}})\\s*\\{{[lcr|@{{}}\\s.]*\\}}', '\\1', 'g')"
+    for _ in range(8):
+        t = _UNBRACE.format(t)
+    return _squash(t)
+
+
+@_query(f"""WITH {TR}, a AS (SELECT page_id, elem_idx, {_strip('raw')} AS t FROM tr WHERE label = 'Formula'),
+b AS (SELECT page_id, elem_idx, CASE WHEN t LIKE '$$%' AND t LIKE '%$$' AND length(t) > 4 THEN {_strip('t[3:length(t)-2]')} WHEN t LIKE '$%' AND t LIKE '%$' AND length(t) > 2 THEN {_strip('t[2:length(t)-1]')} ELSE t END AS u FROM a)
+SELECT page_id, elem_idx, {_formula()} AS formula FROM b""")
 def latex_canonical(s, d):
     """One form of every formula."""
     return _tr(s, d).filter("label = 'Formula'").select("page_id", "elem_idx", T.formula_key(F.col("raw")).alias("formula"))
 
 
-@_query(f"""WITH {EL}, {TR}, p AS (SELECT el.page_id, el.elem_idx, trim(regexp_replace(el.text, '\\s+', ' ', 'g')) AS a, trim(regexp_replace(tr.raw, '\\s+', ' ', 'g')) AS b FROM el JOIN tr USING (page_id, elem_idx) WHERE el.text IS NOT NULL AND regexp_matches(el.text || tr.raw, '^[\\x00-\\x7F]*$'))
-SELECT page_id, elem_idx, levenshtein(a[1:4000], b[1:4000])::DOUBLE / greatest(length(a[1:4000]), length(b[1:4000]), 1) AS ned FROM p""")
+@_query()
+def formula_match(s, d):
+    """Formulas of a page that are the same but for their writing, by the form they share."""
+    f = latex_canonical(s, d).groupBy("page_id", "formula").agg(F.count("*").alias("n"))
+    return f.groupBy("page_id").agg(F.sum("n").alias("formulas"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("matched"))
+
+
+@_query()
 def ned_pairs(s, d):
-    """Edit distance of element texts and their traces, in ASCII."""
+    """Edit distance of element texts and their traces."""
+    j = _el(s, d).filter("text is not null").join(_tr(s, d).select("page_id", "elem_idx", "raw"), ["page_id", "elem_idx"])
+    return j.select("page_id", "elem_idx", T.edit_share(F.col("text"), F.col("raw")).alias("ned"))
+
+
+@_query(f"""WITH {EL}, {TR}, p AS (SELECT el.page_id, el.elem_idx, {_plain('el.text')} AS a, {_plain('tr.raw')} AS b FROM el JOIN tr USING (page_id, elem_idx) WHERE el.text IS NOT NULL)
+SELECT page_id, elem_idx, {_share('a', 'b')} AS share FROM p""")
+def overlap_ratio(s, d):
+    """How much of an element's text its trace has, by 3-grams."""
     j = _el(s, d).filter("text is not null").join(_tr(s, d).select("page_id", "elem_idx", "raw"), ["page_id", "elem_idx"])
-    return j.filter(F.concat("text", "raw").rlike(r"^[\x00-\x7F]*$")).select("page_id", "elem_idx", T.edit_share(F.col("text"), F.col("raw")).alias("ned"))
+    j = j.select("page_id", "elem_idx", T.plain_key(F.col("text")).alias("a"), T.plain_key(F.col("raw")).alias("b"))
+    return j.select("page_id", "elem_idx", T.overlap(F.col("a"), F.col("b")).alias("share"))
 
 
-MD = """rd AS (SELECT el.page_id, el.elem_idx, el.label, coalesce(el.text, t.raw, '') AS text FROM el LEFT JOIN (SELECT page_id, elem_idx, min(raw) AS raw FROM tr GROUP BY 1, 2) t USING (page_id, elem_idx)),
-mp AS (SELECT page_id, elem_idx, CASE label WHEN 'Picture' THEN '![Picture]()' WHEN 'Table' THEN coalesce(html, '') WHEN 'Formula' THEN E'$$\\n' || trim(text) || E'\\n$$' WHEN 'Caption' THEN '*' || trim(text) || '*' WHEN 'Title' THEN '# ' || trim(text)
- WHEN 'Section-header' THEN '## ' || trim(text) WHEN 'List-item' THEN '- ' || trim(text) ELSE trim(text) END AS part FROM rd LEFT JOIN ht USING (page_id, elem_idx) WHERE label NOT IN ('Page-header', 'Page-footer')),
+MD = """rd AS (SELECT el.page_id, el.elem_idx, el.label, trim(coalesce(el.text, t.raw, ''), E' \\n\\t\\r') AS text FROM el LEFT JOIN (SELECT page_id, elem_idx, min(raw) AS raw FROM tr GROUP BY 1, 2) t USING (page_id, elem_idx)),
+mp AS (SELECT page_id, elem_idx, CASE label WHEN 'Picture' THEN '![Picture]()' WHEN 'Table' THEN coalesce(html, '') WHEN 'Formula' THEN E'$$\\n' || text || E'\\n$$' WHEN 'Caption' THEN '*' || text || '*' WHEN 'Title' THEN '# ' || text
+ WHEN 'Section-header' THEN '## ' || text WHEN 'List-item' THEN '- ' || text ELSE text END AS part FROM rd LEFT JOIN ht USING (page_id, elem_idx) WHERE label NOT IN ('Page-header', 'Page-footer')),
 md AS (SELECT page_id, string_agg(part, E'\\n\\n' ORDER BY elem_idx, part) AS md FROM mp WHERE trim(part) <> '' GROUP BY 1)"""
 
 
 @_query(f"WITH {EL}, {TR}, {CELLS}, {SPANS}, {HTML}, {MD} SELECT * FROM md")
 def to_markdown(s, d):
     """Every page as Markdown (flagship)."""
-    return assembly.to_markdown(_el(s, d), _tr(s, d))
-
-
-KEY = r"lower(regexp_replace(regexp_replace(text, '^[#>*\-\s|:]+|[*_`]+', '', 'g'), '\s+', '', 'g'))"
+    return pages.assembled(pages.page_parts(_el(s, d), _tr(s, d)))
 
 
-@_query()
+@_query(f"""WITH {EL}, k AS (SELECT page_id, elem_idx, label IN ('Page-header', 'Page-footer') AS hf, {_plain("coalesce(text, '')")} AS k FROM el),
+j AS (SELECT b.page_id, b.elem_idx, h.k AS h, b.k AS b FROM k b JOIN k h ON b.page_id = h.page_id AND NOT b.hf AND length(b.k) > 0 AND h.hf AND length(h.k) >= 4)
+SELECT page_id, elem_idx, bool_or(length(b) <= 1.6 * length(h) AND (contains(b, h) OR {_share('h', 'b')} >= 0.6)) AS furniture FROM j GROUP BY 1, 2""")
 def furniture(s, d):
-    """Elements of the body that repeat the header or footer of their page."""
+    """Elements of the body beside a header or footer, and whether they repeat it."""
     return assembly.furniture_overlap(_el(s, d))
 
 
 @_query()
 def body_fill(s, d):
-    """How much of the body each page's Markdown lacks."""
-    e = _el(s, d)
-    kept = e.filter("not coalesce(from_band, false)")
-    return assembly.body_fill(e, assembly.to_markdown(kept, _tr(s, d)))
+    """What the body of each page has that its first Markdown lacks."""
+    return pages.filled_bodies(pages.page_parts(_el(s, d), None, _first_md(s, d)))
 
 
-@_query()
+def _first_md(s: SparkSession, d: str) -> DataFrame:
+    """A reading of whole pages: the Markdown of the elements of the first pass."""
+    return pages.assembled(pages.page_parts(_kept(s, d), _tr(s, d)))
+
+
+FIRST = MD.replace("FROM el LEFT JOIN", "FROM el0 el LEFT JOIN")
+KEPT = "el0 AS (SELECT * FROM el WHERE NOT coalesce(from_band, false))"
+
+
+@_query(f"""WITH {EL}, {TR}, {CELLS}, {SPANS}, {HTML}, {MD}, {VAL}, bad AS (SELECT page_id, elem_idx, row_number() OVER (PARTITION BY page_id ORDER BY elem_idx) AS k FROM ve WHERE reason IN ('truncated','row_len_inconsistent','no_html_cells','empty')),
+bl AS (SELECT page_id, unnest(string_split(md, E'\\n\\n')) AS b, generate_subscripts(string_split(md, E'\\n\\n'), 1) - 1 AS block_idx FROM md),
+tb AS (SELECT page_id, block_idx, row_number() OVER (PARTITION BY page_id ORDER BY block_idx) AS k FROM bl WHERE regexp_matches(b, '<table|\\|\\s*[^|\\n]+\\s*\\||<fcel>|<ched>'))
+SELECT bad.page_id, elem_idx, CAST(block_idx AS INT) AS block_idx FROM bad LEFT JOIN tb USING (page_id, k)""")
 def table_ranks(s, d):
     """Unsound tables and the table blocks that replace them."""
     return assembly.table_ranks(_el(s, d), _tr(s, d), to_markdown(s, d))
 
 
-@_query(f"""WITH {EL}, {TR}, b AS (SELECT page_id, elem_idx, text, lower(regexp_replace(regexp_replace(text, '[#*`>\\-|]', '', 'g'), '\\s+', '', 'g')) AS k FROM el WHERE text IS NOT NULL),
-c AS (SELECT page_id, lower(regexp_replace(regexp_replace(raw, '[#*`>\\-|]', '', 'g'), '\\s+', '', 'g')) AS k FROM tr WHERE label NOT IN ('Table', 'Formula'))
-SELECT DISTINCT page_id, text AS block FROM b WHERE length(k) > 12 AND regexp_matches(text, '^[\\x00-\\x7F]*$') AND NOT EXISTS (SELECT 1 FROM c WHERE c.page_id = b.page_id AND c.k = b.k)""")
+def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = _el(s, d).filter("text is not null").select("page_id", F.col("text").alias("block")).distinct()
+    b = _tr(s, d).filter("label not in ('Table', 'Formula')").select("page_id", F.col("raw").alias("block")).distinct()
+    return a, b
+
+
+SIDES = f"""a AS (SELECT DISTINCT page_id, text AS block, {_block('text')} AS k FROM el WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT page_id, raw AS block, {_block('raw')} AS k FROM tr WHERE label NOT IN ('Table', 'Formula'))"""
+
+
+@_query(f"WITH {EL}, {TR}, {SIDES} SELECT page_id, block FROM a WHERE length(k) > 12 AND NOT EXISTS (SELECT 1 FROM b WHERE b.page_id = a.page_id AND b.k = a.k)")
 def block_diff(s, d):
-    """Texts of elements, in ASCII, that no trace of their page has."""
-    a = _el(s, d).filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("page_id", F.col("text").alias("block")).distinct()
-    b = _tr(s, d).filter("label not in ('Table', 'Formula')").select("page_id", F.col("raw").alias("block"))
-    return assembly.only_in_first(a, b)
+    """Texts of elements that no trace of their page has."""
+    return assembly.only_in_first(*_sides(s, d))
+
+
+@_query(f"WITH {EL}, {TR}, {SIDES} SELECT page_id, block FROM b WHERE length(k) > 12 AND NOT EXISTS (SELECT 1 FROM a WHERE b.page_id = a.page_id AND b.k = a.k)")
+def block_diff_back(s, d):
+    """Texts of traces that no element of their page has."""
+    a, b = _sides(s, d)
+    return assembly.only_in_first(b, a)
+
+
+@_query(f"""WITH {EL}, {TR}, {SIDES}, g AS (SELECT page_id, k, sum(x) AS a, sum(y) AS b FROM (SELECT page_id, k, 1 AS x, 0 AS y FROM a UNION ALL SELECT page_id, k, 0, 1 FROM b) GROUP BY 1, 2)
+SELECT page_id, CAST(sum(a) AS BIGINT) AS first, CAST(sum(b) AS BIGINT) AS second, CAST(sum(CASE WHEN b > 0 THEN a ELSE 0 END) AS BIGINT) AS "both" FROM g GROUP BY 1""")
+def block_counts(s, d):
+    """Blocks of both readings of each page."""
+    return assembly.block_counts(*_sides(s, d))
 
 
 @_query(f"""WITH {EL}, {TR}, m AS (SELECT e.page_id, e.elem_idx AS pos, CASE WHEN t.elem_idx IS NULL THEN NULL ELSE e.elem_idx END AS idx FROM (SELECT DISTINCT page_id, elem_idx FROM el) e LEFT JOIN (SELECT DISTINCT page_id, elem_idx FROM tr) t USING (page_id, elem_idx)),
@@ -318,7 +432,11 @@ def trace_mismatch(s, d):
     return table(s, d, "layout").filter(F.col("raw_md5") != F.substring(F.md5("raw"), 1, 12)).select("page_id", "elem_idx", "raw_md5").distinct()
 
 
-@_query()
+JOBS = """jb AS (SELECT page_id, elem_idx FROM (SELECT page_id, elem_idx, label, greatest(0, CAST(trunc(x0/1000*width) AS INT)-2) AS a, greatest(0, CAST(trunc(y0/1000*height) AS INT)-2) AS b, least(width, CAST(trunc(x1/1000*width) AS INT)+2) AS c, least(height, CAST(trunc(y1/1000*height) AS INT)+2) AS d
+ FROM el JOIN page_image USING (page_id) WHERE x0 IS NOT NULL) WHERE c-a >= 8 AND d-b >= 8 AND label <> 'Picture')"""
+
+
+@_query(f"WITH {EL}, {TR}, {JOBS} SELECT page_id, elem_idx, coalesce(raw, '') AS text, coalesce(stop, '') AS stop, raw IS NULL AS error FROM jb LEFT JOIN tr USING (page_id, elem_idx)")
 def replay(s, d):
     """Readings of all crop jobs from the recorded traces."""
     return assembly.replay(crop_jobs(s, d), _tr(s, d))
@@ -335,7 +453,7 @@ def cycle_detect(s, d):
 SELECT page_id, CAST(pos AS INT) AS pos, line FROM u WHERE (pos < 6 OR pos >= n - 6) AND NOT contains(line, '|') AND regexp_matches(trim(line), '^[\s\-–—|]*(?:[0-9]{1,4}|[ivxlcIVXLC]{1,6}|-\s*\d+\s*-)[\s\-–—|]*$')""")
 def edge_line_filter(s, d):
     """Page numbers among the outer lines of texts."""
-    return assembly.edge_lines(_md(s, d))
+    return assembly.edge_lines(_md(s, d), numbers_only=True).select("page_id", "pos", "line")
 
 
 @_query(f"WITH {TR}, {CELLS} SELECT page_id, elem_idx, \"row\", CAST(coalesce(min(CASE WHEN regexp_matches(text, '^[0-9][0-9.,%\\s]*$') THEN col END), count(*)) AS INT) AS headers FROM cells GROUP BY 1, 2, 3")
@@ -344,14 +462,44 @@ def header_promotion(s, d):
     return assembly.leading_headers(_grid(s, d))
 
 
-@_query("""WITH h AS (SELECT case_id, axis, EXISTS (SELECT 1 FROM documents WHERE contains(regexp_replace(documents.text, '\\s+', '', 'g'), regexp_replace(c.text, '\\s+', '', 'g'))) AS found FROM benchmark_case c WHERE axis = 'header_footer')
-SELECT axis, count(*) AS cases, count(*) FILTER (WHERE found) AS found FROM h GROUP BY 1""")
+@_query(f"""WITH t AS (SELECT {_squash('text')} AS t FROM documents), h AS (SELECT case_id, EXISTS (SELECT 1 FROM t WHERE contains(t, {_squash('c.text')})) AS found FROM benchmark_case c WHERE type <> 'table')
+SELECT case_id FROM h WHERE found""")
+def presence_exact(s, d):
+    """Cases that stand, white space apart, in some document as they are."""
+    cases = table(s, d, "benchmark_case").filter("type <> 'table'").withColumn("max_diffs", F.lit(0))
+    return assembly.present_cases(table(s, d, "documents"), cases)
+
+
+TC = f"""k AS (SELECT page_id, elem_idx, "row", col, {_squash('text')} AS k FROM cells),
+cs AS (SELECT case_id, {_squash('text')} AS k, {_squash("coalesce(left_heading, '')")} AS l, {_squash("coalesce(top_heading, '')")} AS t FROM benchmark_case WHERE type = 'table'),
+hit AS (SELECT case_id, k.page_id, k.elem_idx, k."row", k.col, l, t FROM k JOIN cs USING (k)),
+one AS (SELECT case_id, (l = '' OR EXISTS (SELECT 1 FROM k WHERE k.page_id = hit.page_id AND k.elem_idx = hit.elem_idx AND k."row" = hit."row" AND k.col < hit.col AND k.k = hit.l))
+ AND (t = '' OR EXISTS (SELECT 1 FROM k WHERE k.page_id = hit.page_id AND k.elem_idx = hit.elem_idx AND k.col = hit.col AND k."row" < hit."row" AND k.k = hit.t)) AS related FROM hit),
+tc AS (SELECT cs.case_id, count(one.case_id) > 0 AS cell, coalesce(bool_or(related), false) AS related FROM cs LEFT JOIN one USING (case_id) GROUP BY 1)"""
+
+
+@_query(f"WITH {TR}, {CELLS}, {TC} SELECT * FROM tc")
+def table_tests(s, d):
+    """Cells of held-out tables, and whether they stand in some table under their headings."""
+    return assembly.table_cases(_grid(s, d), table(s, d, "benchmark_case").filter("type = 'table'"))
+
+
+@_query(f"WITH {TR}, {CELLS}, {TC} SELECT CASE WHEN related THEN 'passed' WHEN cell THEN 'relation' ELSE 'no cell' END AS failure, count(*) AS cases FROM tc GROUP BY 1")
+def failure_types(s, d):
+    """Tests of tables by how they fail."""
+    t = table_tests(s, d)
+    return t.groupBy(F.when(F.col("related"), "passed").when(F.col("cell"), "relation").otherwise("no cell").alias("failure")).agg(F.count("*").alias("cases"))
+
+
+@_query()
 def presence_tests(s, d):
-    """Header cases that stand, without white space, in some document; the cases are a fixed set of 240 rows."""
-    cases = table(s, d, "benchmark_case").filter("axis = 'header_footer'").select("case_id", "axis", T.squash(F.col("text")).alias("k"))
-    docs = table(s, d, "documents").select(T.squash(F.col("text")).alias("t"))
-    hit = docs.join(F.broadcast(cases), F.contains("t", F.col("k"))).select("case_id").distinct().withColumn("hit", F.lit(True))
-    return cases.join(hit, "case_id", "left").groupBy("axis").agg(F.count("*").alias("cases"), F.count("hit").alias("found"))
+    """Tests of all three kinds, with their tolerance: passed if present, absent, or related in a table."""
+    cases = table(s, d, "benchmark_case")
+    found = assembly.present_cases(table(s, d, "documents"), cases.filter("type <> 'table'")).withColumn("found", F.lit(True))
+    related = table_tests(s, d).filter("related").select("case_id").withColumn("related", F.lit(True))
+    j = cases.join(found, "case_id", "left").join(related, "case_id", "left")
+    passed = F.when(F.col("type") == "table", F.col("related").isNotNull()).when(F.col("type") == "absent", F.col("found").isNull()).otherwise(F.col("found").isNotNull())
+    return j.groupBy("axis", "type").agg(F.count("*").alias("cases"), F.count_if(passed).alias("passed"))
 
 
 @_query("SELECT source, sum(n_chars) AS chars, sum(n_chars)::DOUBLE / (SELECT sum(n_chars) FROM documents) AS share FROM documents GROUP BY 1")
@@ -370,33 +518,242 @@ def tag_counts(s, d):
 
 
 def _page_text(s: SparkSession, d: str) -> DataFrame:
-    """A reading of whole pages: the elements of a page that were not found in bands, furniture included."""
-    e = _el(s, d).filter("text is not null and not coalesce(from_band, false)").select("page_id", "elem_idx", "text")
-    return e.groupBy("page_id").agg(assembly.ordered("text").alias("md"))
+    """A reading of whole pages: the texts of the elements of the first pass, furniture included."""
+    return _kept(s, d).filter("text is not null").groupBy("page_id").agg(assembly.ordered("text").alias("md"))
 
 
-@_query()
+def _merge(s: SparkSession, d: str, md: DataFrame) -> DataFrame:
+    return pages.page_parts(_el(s, d), _tr(s, d), md, _sizes(s, d))
+
+
+# One merge in SQL: blocks less furniture, usable tables by height, the k-th in place of the k-th table block.
+MERGE = f"""sz0 AS (SELECT page_id, width AS w, height AS h FROM page_image), el1 AS (SELECT el.*, coalesce(w, 1400) AS w, coalesce(h, 1980) AS h FROM el LEFT JOIN sz0 USING (page_id)),
+ok AS (SELECT page_id, elem_idx, reason, raw FROM ve), us AS (SELECT el1.page_id, el1.elem_idx, ht.html, row_number() OVER (PARTITION BY el1.page_id ORDER BY coalesce(y0, 0), el1.elem_idx) AS k FROM el1 JOIN ok USING (page_id, elem_idx) JOIN ht USING (page_id, elem_idx)
+ WHERE el1.label = 'Table' AND coalesce(x1-x0, 0)/1000*w >= 8 AND coalesce(y1-y0, 0)/1000*h >= 8 AND reason IN ('', 'truncated', 'row_len_inconsistent', 'no_html_cells') AND trim(raw) <> ''),
+bq AS (SELECT page_id, list_filter(list_transform(string_split_regex(md, '\\n[ \\t]*\\n'), lambda x: {_strip('x')}), lambda x: length(x) > 0) AS bs FROM pt0),
+bk AS (SELECT page_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS pos, len(bs) AS n FROM bq),
+hd AS (SELECT page_id, {_plain("coalesce(text, '')")} AS h FROM el WHERE label IN ('Page-header', 'Page-footer')),
+fb AS (SELECT bk.*, {_plain('b')} AS k FROM bk),
+kb AS (SELECT page_id, pos, b FROM fb WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.page_id = fb.page_id AND length(h) >= 4 AND length(k) > 0 AND length(k) <= 1.6 * length(h) AND (contains(k, h) OR {_share('h', 'k')} >= 0.6))
+ AND NOT (pos IN (1, n) AND regexp_matches(b, '^[\\s\\-–—|]*(?:[0-9]{{1,4}}|[ivxlcIVXLC]{{1,6}}|-\\s*\\d+\\s*-)[\\s\\-–—|]*$'))),
+tq AS (SELECT kb.*, CASE WHEN {{place}} AND regexp_matches(b, '<table|\\|\\s*[^|\\n]+\\s*\\||<fcel>|<ched>') THEN row_number() OVER (PARTITION BY page_id, regexp_matches(b, '<table|\\|\\s*[^|\\n]+\\s*\\||<fcel>|<ched>') ORDER BY pos) END AS k FROM kb),
+al AS (SELECT coalesce(tq.page_id, us.page_id) AS page_id, pos, us.k AS uk, coalesce(html, b) AS part, html IS NOT NULL AS made FROM tq FULL JOIN us ON tq.page_id = us.page_id AND tq.k = us.k),
+ct AS (SELECT page_id, {_squash("string_agg(regexp_replace(html, '<[^>]+>', ' ', 'g'), ' ' ORDER BY k)")} AS cells FROM us GROUP BY 1),
+dr AS (SELECT al.*, {_squash("regexp_replace(part, '<[^>]+>', ' ', 'g')")} AS sq FROM al), fi AS (SELECT dr.* FROM dr LEFT JOIN ct USING (page_id) WHERE made OR cells IS NULL OR part IN (SELECT html FROM us WHERE us.page_id = dr.page_id) OR NOT (length(sq) BETWEEN 1 AND 60 AND contains(cells, sq)))
+SELECT page_id, string_agg(part, E'\\n\\n' ORDER BY pos IS NULL, pos, uk) AS md, CAST(count(*) FILTER (WHERE made AND pos IS NOT NULL) AS INT) AS by_block, CAST(count(*) FILTER (WHERE made AND pos IS NULL) AS INT) AS appended FROM fi GROUP BY 1"""
+TEXT = "pt0 AS (SELECT page_id, string_agg(text, E'\\n\\n' ORDER BY elem_idx) AS md FROM el WHERE text IS NOT NULL AND NOT coalesce(from_band, false) GROUP BY 1)"
+
+
+@_query(f"WITH {EL}, {TR}, {CELLS}, {SPANS}, {HTML}, {VAL}, {TEXT}, " + MERGE.replace("{place}", "false"))
 def merge_page_append(s, d):
     """Texts of pages with their tables at the end."""
-    return assembly.merged_pages(_el(s, d), _tr(s, d), _page_text(s, d), "append")
+    return pages.merged_pages(_merge(s, d, _page_text(s, d)), place="append").filter("md <> ''").select("page_id", "md", "by_block", "appended")
 
 
-@_query()
+@_query(f"WITH {EL}, {KEPT}, {TR}, {CELLS}, {SPANS}, {HTML}, {FIRST}, pt0 AS (SELECT * FROM md), {VAL}, " + MERGE.replace("{place}", "true"))
 def merge_page_replace(s, d):
     """Texts of pages with their tables in place of table blocks."""
-    return assembly.merged_pages(_el(s, d), _tr(s, d), to_markdown(s, d), "replace")
+    return pages.merged_pages(_merge(s, d, _first_md(s, d)), place="replace").filter("md <> ''").select("page_id", "md", "by_block", "appended")
+
+
+@_query()
+def merge_page_anchor(s, d):
+    """Texts of pages with their tables in place of table blocks and of prose that holds their cells, and the counters."""
+    return pages.merged_pages(_merge(s, d, _page_text(s, d)), place="anchor", by_position=True, fill=True)
+
+
+@_query()
+def merge_hybrid(s, d):
+    """Elements with tables and text of their page's reading."""
+    return pages.merged_elements(pages.page_parts(_kept(s, d), _tr(s, d), _page_text(s, d), _sizes(s, d)))
 
 
 @_query()
 def merge_hybrid_bands(s, d):
-    """Uncovered bands filled with new blocks of the page's text."""
-    kept = _el(s, d).filter("not coalesce(from_band, false)")
-    return assembly.filled_bands(kept, to_markdown(s, d))
+    """What merging into elements does on each page, counted."""
+    return pages.merge_report(pages.page_parts(_kept(s, d), _tr(s, d), to_markdown(s, d), _sizes(s, d)))
+
+
+@_query()
+def match_to_elements(s, d):
+    """The blocks of pages and their elements."""
+    return pages.matched_blocks(pages.page_parts(_el(s, d), _tr(s, d), _first_md(s, d)))
+
+
+def _run(mode: str):
+    return lambda s, d: pages.run(_merge(s, d, _page_text(s, d)), mode)
+
+
+_query(f"WITH {EL}, {TR}, {TEXT} SELECT page_id, coalesce(md, '') AS md, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT page_id FROM el UNION SELECT page_id FROM page_image UNION SELECT page_id FROM tr) LEFT JOIN pt0 USING (page_id)")(_named := _run("page"))
+_SPARK["run_page"], _SQL["run_page"] = _SPARK.pop("<lambda>"), _SQL.pop("<lambda>")
+_SPARK |= {"run_coarse_to_fine": _run("coarse-to-fine"), "run_hybrid": _run("hybrid"), "run_hybrid_page": _run("hybrid-page")}
+
+
+@_query(f"WITH {EL} SELECT page_id, elem_idx, CAST(row_number() OVER (PARTITION BY page_id ORDER BY elem_idx) - 1 AS INT) AS n FROM el WHERE text IS NOT NULL")
+def renumber_elements(s, d):
+    """Elements with a text, numbered anew."""
+    return assembly.renumbered(_el(s, d).filter("text is not null"))
+
+
+@_query(f"WITH {EL} SELECT volume_id, count(DISTINCT page_id) AS pages, count(*) AS elements FROM el GROUP BY 1")
+def page_totals(s, d):
+    """Pages and elements of each volume."""
+    return _el(s, d).groupBy("volume_id").agg(F.count_distinct("page_id").alias("pages"), F.count("*").alias("elements"))
+
+
+@_query(f"""WITH {EL}, {TR} SELECT page_id, elem_idx, CASE el.label WHEN 'Table' THEN coalesce(t.html, '') WHEN 'Formula' THEN '<div class="formula">$$ ' || x || ' $$</div>' WHEN 'Picture' THEN '<div class="pic"></div>' WHEN 'Title' THEN '<h1>' || x || '</h1>'
+ WHEN 'Section-header' THEN '<h2>' || x || '</h2>' WHEN 'List-item' THEN '<p>• ' || x || '</p>' WHEN 'Caption' THEN '<p><em>' || x || '</em></p>' ELSE '<p>' || x || '</p>' END AS html
+ FROM (SELECT el.*, replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS x FROM el) el LEFT JOIN tr t USING (page_id, elem_idx)""")
+def element_html(s, d):
+    """Readings of elements as HTML."""
+    j = _el(s, d).join(_tr(s, d).select("page_id", "elem_idx", "html"), ["page_id", "elem_idx"], "left")
+    return j.select("page_id", "elem_idx", T.element_html(F.col("label"), F.col("text"), F.col("html")).alias("html"))
+
+
+@_query(f"""WITH {EL}, x AS (SELECT page_id, elem_idx, text AS t, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS e FROM el WHERE text IS NOT NULL)
+SELECT page_id, elem_idx, CASE WHEN ltrim(t) LIKE '<table%' THEN t WHEN t LIKE '## %' THEN '<h2>' || e[4:] || '</h2>' WHEN t LIKE '# %' THEN '<h1>' || e[3:] || '</h1>' WHEN t LIKE '$$%' THEN '<pre class="formula">' || e || '</pre>'
+ WHEN t LIKE '*%' AND t LIKE '%*' THEN '<p><em>' || regexp_replace(e, '^\\*+|\\*+$', '', 'g') || '</em></p>' ELSE '<p>' || e || '</p>' END AS html FROM x""")
+def block_html(s, d):
+    """Texts of elements, as blocks of Markdown, as HTML."""
+    return _el(s, d).filter("text is not null").select("page_id", "elem_idx", T.block_html(F.col("text")).alias("html"))
+
+
+@_query(f"""WITH {EL}, j AS (SELECT page_id, elem_idx, label, width, height, greatest(0, CAST(trunc(x0/1000*width) AS INT)-2) AS a, greatest(0, CAST(trunc(y0/1000*height) AS INT)-2) AS b, least(width, CAST(trunc(x1/1000*width) AS INT)+2) AS c, least(height, CAST(trunc(y1/1000*height) AS INT)+2) AS d FROM el JOIN page_image USING (page_id) WHERE x0 IS NOT NULL),
+t AS (SELECT page_id, elem_idx, CASE label WHEN 'Table' THEN 'table' WHEN 'Formula' THEN 'formula' WHEN 'Picture' THEN NULL ELSE 'text' END AS task, CASE WHEN label = 'Table' THEN greatest(0, CAST(trunc(a - 1.5*(c-a)*0.02::DOUBLE) AS INT)) ELSE a END AS px0, CASE WHEN label = 'Table' THEN greatest(0, CAST(trunc(b - 1.5*(d-b)*0.02::DOUBLE) AS INT)) ELSE b END AS py0,
+ CASE WHEN label = 'Table' THEN least(width, CAST(trunc(c + (c-a)*0.02::DOUBLE) AS INT)) ELSE c END AS px1, CASE WHEN label = 'Table' THEN least(height, CAST(trunc(d + (d-b)*0.02::DOUBLE) AS INT)) ELSE d END AS py1 FROM j)
+SELECT *, CASE task WHEN 'table' THEN 4096 ELSE 2048 END AS budget, CASE task WHEN 'table' THEN 64 ELSE 0 END AS stop_on_cycle, CASE task WHEN 'table' THEN 4 ELSE 8 END AS cycle_repeats FROM t WHERE px1-px0 >= 8 AND py1-py0 >= 8 AND task IS NOT NULL""")
+def crop_jobs_guarded(s, d):
+    """Crops to read, tables widened, with the guards against loops."""
+    return layout.guarded(layout.crop_jobs(_el(s, d), table(s, d, "page_image"), table_pad=0.02), table_stop_on_cycle=64, table_repeats=4)
+
+
+@_query(f"""WITH {EL}, t AS (SELECT page_id, elem_idx, CASE label WHEN 'Table' THEN 'table' WHEN 'Formula' THEN 'formula' ELSE 'text' END AS task FROM el WHERE label <> 'Picture')
+SELECT page_id, elem_idx, task, CAST(floor((row_number() OVER (PARTITION BY page_id, task ORDER BY elem_idx) - 1) / 8) AS INT) AS batch FROM t""")
+def prompt_batches(s, d):
+    """Elements to read, by task, eight to a batch."""
+    return layout.batches(_el(s, d).filter("label <> 'Picture'").withColumn("task", layout.task_of(F.col("label"))))
+
+
+@_query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 2097152 ELSE 1048576 END AS most, '<|im_start|>user' || chr(10) || '<|vision_start|>' || repeat('<|image_pad|>', 3) || '<|vision_end|>' || CASE WHEN page_id % 2 = 0 THEN 'Layout Detection' ELSE 'Read the text' END || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM page_image""")
+def page_prompts(s, d):
+    """The prompt of each page, of detection for one half and of reading for the other, and its budget of pixels."""
+    what = F.when(F.col("page_id") % 2 == 0, "Layout Detection").otherwise("Read the text")
+    return table(s, d, "page_image").select("page_id", layout.pixel_budget(what, 2097152).alias("most"), layout.chat_prompt(what, F.lit(3)).alias("prompt"))
+
+
+@_query(f"""WITH {EL}, {COLS}, sp AS (SELECT co.page_id, col_idx, y0, y1 FROM co JOIN el ON el.page_id = co.page_id AND (x1-x0 >= 600 OR (x0+x1)/2 BETWEEN cx0 AND cx1) UNION ALL SELECT page_id, col_idx, NULL, NULL FROM co), {PL}, ba AS ({_GAPS.format(k="page_id, col_idx", top="60.0::DOUBLE", bottom="940.0::DOUBLE", least=60)}),
+p AS (SELECT page_id, col_idx, cx0, cx1, b0, b1, width AS w, height AS h, greatest(0, CAST(trunc(cx0/1000*width) AS INT)-4) AS px0, greatest(0, CAST(trunc(b0/1000*height) AS INT)-4) AS py0, least(width, CAST(trunc(cx1/1000*width) AS INT)+4) AS px1, least(height, CAST(trunc(b1/1000*height) AS INT)+4) AS py1 FROM ba JOIN co USING (page_id, col_idx) JOIN page_image USING (page_id)),
+q AS (SELECT p.*, (SELECT min(x0) FROM el WHERE el.page_id = p.page_id AND x1-x0 < 600 AND label NOT IN ('Page-header', 'Page-footer') AND (x0+x1)/2 BETWEEN p.cx0 AND p.cx1) AS k0, (SELECT max(x1) FROM el WHERE el.page_id = p.page_id AND x1-x0 < 600 AND label NOT IN ('Page-header', 'Page-footer') AND (x0+x1)/2 BETWEEN p.cx0 AND p.cx1) AS k1 FROM p WHERE px1-px0 >= 40 AND py1-py0 >= 40),
+r AS (SELECT q.page_id, col_idx, b0, elem_idx AS pos, label, cx0, cx1, b1, k0, k1, px0::DOUBLE/w*1000 + x0*((px1-px0)::DOUBLE/w) AS x0, py0::DOUBLE/h*1000 + y0*((py1-py0)::DOUBLE/h) AS y0, px0::DOUBLE/w*1000 + x1*((px1-px0)::DOUBLE/w) AS x1, py0::DOUBLE/h*1000 + y1*((py1-py0)::DOUBLE/h) AS y1 FROM q JOIN pl USING (page_id)),
+t AS (SELECT *, (y1-y0)*0.01::DOUBLE+3 AS my, (x1-x0)*0.02::DOUBLE+4 AS mx, label IN ('Table','Picture','Formula') AS own FROM r WHERE x1-x0 >= 5 AND y1-y0 >= 5),
+u AS (SELECT page_id, col_idx, b0, pos, label, CASE WHEN own THEN greatest(cx0, x0-mx) WHEN k0 IS NULL THEN cx0 ELSE greatest(cx0, k0-6) END AS x0, greatest(b0, y0-my) AS y0, CASE WHEN own THEN least(cx1, x1+mx) WHEN k1 IS NULL THEN cx1 ELSE least(cx1, k1+6) END AS x1, least(b1, y1+my) AS y1 FROM t)
+SELECT page_id, col_idx, b0, pos, label, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM u WHERE NOT EXISTS (SELECT 1 FROM el e WHERE e.page_id = u.page_id AND e.x0 IS NOT NULL AND least(e.x1,u.x1) > greatest(e.x0,u.x0) AND least(e.y1,u.y1) > greatest(e.y0,u.y0)
+ AND (least(e.x1,u.x1)-greatest(e.x0,u.x0))*(least(e.y1,u.y1)-greatest(e.y0,u.y0)) / greatest(1e-6, (e.x1-e.x0)*(e.y1-e.y0)+(u.x1-u.x0)*(u.y1-u.y0)-(least(e.x1,u.x1)-greatest(e.x0,u.x0))*(least(e.y1,u.y1)-greatest(e.y0,u.y0))) > 0.3)""")
+def relayout_dedup(s, d):
+    """Boxes detected anew in uncovered bands (here as the page's own detection, on the band's scale) that are new."""
+    e = _el(s, d)
+    bands = layout.column_bands(e).join(layout.column_spans(e), ["page_id", "col_idx"])
+    found = layout.parse_layout(table(s, d, "layout_string")).withColumnRenamed("elem_idx", "pos")
+    detected = bands.select("page_id", "col_idx", "b0").join(found, "page_id")
+    r = layout.relayout(bands, e, table(s, d, "page_image"), detected)
+    return r.select("page_id", "col_idx", "b0", "pos", "label", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+PRF = f"""cd AS (SELECT page_id, pi, gi, row_number() OVER (PARTITION BY page_id ORDER BY pi, iou DESC, gi DESC) AS k FROM io),
+g(page_id, k, ps, gs) AS (SELECT DISTINCT page_id, 0::BIGINT, []::INT[], []::INT[] FROM cd UNION ALL SELECT g.page_id, cd.k, CASE WHEN list_contains(ps, cd.pi) OR list_contains(gs, cd.gi) THEN ps ELSE list_append(ps, cd.pi) END,
+ CASE WHEN list_contains(ps, cd.pi) OR list_contains(gs, cd.gi) THEN gs ELSE list_append(gs, cd.gi) END FROM g JOIN cd ON cd.page_id = g.page_id AND cd.k = g.k + 1),
+mt AS (SELECT page_id, arg_max(gs, k) AS gs FROM g GROUP BY 1), ms AS (SELECT page_id, len(gs) AS matched, list_sum(list_transform(gs, lambda x, i: len(list_filter(gs[i+1:], lambda y: y < x)))) AS swaps FROM mt),
+np AS (SELECT page_id, count(*) AS n_pred FROM pl GROUP BY 1), ng AS (SELECT page_id, count(*) AS n_gold FROM el GROUP BY 1),
+nn AS (SELECT page_id, coalesce(n_pred, 0) AS n_pred, coalesce(n_gold, 0) AS n_gold, coalesce(matched, 0) AS matched, coalesce(swaps, 0) AS swaps FROM np FULL JOIN ng USING (page_id) LEFT JOIN ms USING (page_id)),
+pr AS (SELECT *, CASE WHEN n_pred > 0 THEN matched::DOUBLE/n_pred ELSE 0.0 END AS p, CASE WHEN n_gold > 0 THEN matched::DOUBLE/n_gold ELSE 0.0 END AS r FROM nn)
+SELECT page_id, n_pred, n_gold, CAST(matched AS INT) AS matched, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2*p*r/(p+r) ELSE 0.0 END AS f1, CASE WHEN matched > 1 THEN 1 - 4*swaps::DOUBLE/(matched*(matched-1)) ELSE -1.0 END AS order_tau FROM pr"""
+IO = """j AS (SELECT p.page_id, p.elem_idx AS pi, g.elem_idx AS gi, greatest(0, least(p.x1,g.x1)-greatest(p.x0,g.x0))*greatest(0, least(p.y1,g.y1)-greatest(p.y0,g.y0)) AS i, greatest(0,p.x1-p.x0)*greatest(0,p.y1-p.y0) AS a, greatest(0,g.x1-g.x0)*greatest(0,g.y1-g.y0) AS b
+ FROM pl p JOIN el g ON p.page_id = g.page_id {labels} WHERE g.x0 IS NOT NULL), io AS (SELECT page_id, pi, gi, round(i/(a+b-i), 9) AS iou FROM j WHERE i > 0 AND round(i/(a+b-i), 9) >= {least})"""
+_SQL["layout_prf"] = f"WITH RECURSIVE {EL}, {PL}, {IO.format(labels='AND p.label = g.label', least=0.5)}, {PRF}"
+
+
+@_query(f"WITH RECURSIVE {EL}, {PL}, {IO.format(labels='', least=0.3)}, {PRF}")
+def layout_prf_any(s, d):
+    """Scores of every page without regard to labels, from an overlap of 0.3."""
+    return layout.layout_scores(layout.parse_layout(table(s, d, "layout_string")), _el(s, d), 0.3, labels=False)
+
+
+@_query()
+def text_confusions(s, d):
+    """What traces read for what the element's text has."""
+    j = _el(s, d).filter("text is not null").join(_tr(s, d).filter("label not in ('Table', 'Formula')").select("page_id", "elem_idx", "raw"), ["page_id", "elem_idx"])
+    return assembly.confusions(j.select(F.col("raw").alias("read"), F.col("text").alias("meant")))
+
+
+@_query(f"""WITH {TR}, g AS (SELECT unnest(regexp_extract_all(raw, '<(fcel|ched|ecel|lcel|ucel|xcel|nl)>', 1)) AS tag FROM tr WHERE label = 'Table'), h AS (SELECT unnest(regexp_extract_all(html, '<(td|th|tr)[ >]', 1)) AS tag FROM tr WHERE label = 'Table' AND html IS NOT NULL)
+SELECT tag, count(*) FILTER (WHERE side = 0) AS tokens, count(*) FILTER (WHERE side = 1) AS html FROM (SELECT tag, 0 AS side FROM g UNION ALL SELECT CASE tag WHEN 'tr' THEN 'nl' WHEN 'th' THEN 'ched' ELSE 'fcel' END, 1 FROM h) GROUP BY 1""")
+def tag_compare(s, d):
+    """Cell tokens of one reading against the tags of the other."""
+    t = _tables(s, d)
+    a = t.select(F.explode(F.regexp_extract_all("raw", F.lit("<(fcel|ched|ecel|lcel|ucel|xcel|nl)>"), F.lit(1))).alias("tag"), F.lit(0).alias("side"))
+    b = t.filter("html is not null").select(F.explode(F.regexp_extract_all("html", F.lit("<(td|th|tr)[ >]"), F.lit(1))).alias("tag"), F.lit(1).alias("side"))
+    b = b.withColumn("tag", F.when(F.col("tag") == "tr", "nl").when(F.col("tag") == "th", "ched").otherwise("fcel"))
+    return a.unionByName(b).groupBy("tag").agg(F.count_if(F.col("side") == 0).alias("tokens"), F.count_if(F.col("side") == 1).alias("html"))
+
+
+@_query(f"""WITH {TR}, g AS (SELECT page_id, elem_idx, raw[i:i+7] AS g, i FROM (SELECT page_id, elem_idx, raw, unnest(range(1, length(raw) - 6)) AS i FROM tr)), o AS (SELECT *, row_number() OVER (PARTITION BY page_id, elem_idx, g ORDER BY i) AS n FROM g)
+SELECT page_id, elem_idx, CAST(min(i) AS INT) AS place FROM o WHERE n > 1 GROUP BY 1, 2""")
+def repeated_gram(s, d):
+    """The place where each trace first repeats eight characters."""
+    return _tr(s, d).select("page_id", "elem_idx", T.repeated_gram(F.col("raw")).alias("place")).filter("place is not null")
+
+
+@_query(f"WITH {TR} SELECT page_id, elem_idx, array_to_string(list_filter(string_split_regex(raw, '<[a-z]+>'), lambda c: length({_strip('c')}) >= 2)[1:40], ' ') AS probe FROM tr WHERE label = 'Table'")
+def cell_probe(s, d):
+    """The first cells of tables as running text."""
+    return tables._over_tables(_tables(s, d), "raw", "probe string", lambda raw: [(pages.probe(raw or ""),)])
+
+
+@_query(r"""WITH s AS (SELECT *, regexp_extract(path, '([^/]+?)(?:\.[^./]*)?$', 1) AS stem FROM page_image) SELECT s.page_id, s.stem, t.stem IS NOT NULL AS has_text FROM s JOIN (SELECT DISTINCT stem FROM s JOIN layout_string l USING (page_id) WHERE raw IS NOT NULL) l USING (stem) LEFT JOIN (SELECT DISTINCT stem FROM s JOIN layout USING (page_id)) t USING (stem)""")
+def pair_by_stem(s, d):
+    """Page images with their layout and text by file name."""
+    i = table(s, d, "page_image").select("page_id", "path")
+    named = i.select("page_id", diagnostics.stem(F.col("path")).alias("stem"))
+    layouts = named.join(table(s, d, "layout_string").filter("raw is not null"), "page_id").select("stem").distinct()
+    texts = named.join(table(s, d, "layout").select("page_id").distinct(), "page_id").select("stem").distinct().withColumn("md", F.lit(True))
+    return diagnostics.paired(i, layouts, texts).select("page_id", "stem", F.col("md").isNotNull().alias("has_text"))
+
+
+@_query(f"WITH {EL}, {TR} SELECT el.page_id, CAST(row_number() OVER (PARTITION BY el.page_id ORDER BY el.elem_idx) - 1 AS INT) AS elem_idx, el.label, el.text, t.raw FROM el LEFT JOIN tr t ON t.page_id = el.page_id AND t.elem_idx = el.elem_idx")
+def diagnostics_roundtrip(s, d):
+    """Elements and traces written as JSON and read back."""
+    t = table(s, d, "layout").dropDuplicates(["page_id", "elem_idx"])
+    return diagnostics.read_diagnostics(diagnostics.diagnostics(_el(s, d), t))
+
+
+@_query()
+def result_json(s, d):
+    """The result of each page as JSON."""
+    return diagnostics.results(_el(s, d), table(s, d, "page_image"))
+
+
+@_query()
+def page_md_blocks(s, d):
+    """Blocks of texts in which tables are whole."""
+    return _md(s, d).select("page_id", F.posexplode(T.page_blocks(F.col("md"))).alias("block_idx", "block"))
+
+
+@_query()
+def edge_filter(s, d):
+    """Texts without the furniture of their outer lines."""
+    return assembly.without_edge_lines(_md(s, d))
+
+
+@_query(f"WITH {TR}, {VAL} SELECT page_id, elem_idx, reason, reason IN ('truncated','row_len_inconsistent','no_html_cells','empty') AS strict, reason IN ('truncated','row_len_inconsistent','no_html_cells','empty','too_few_cells','no_grid','no_rows') AS \"all\" FROM ve")
+def replaceable_tables(s, d):
+    """Tables that may be replaced, at both levels."""
+    v = tables.validate(_tables(s, d))
+    return v.select("page_id", "elem_idx", "reason", tables.replaceable(F.col("reason")).alias("strict"), tables.replaceable(F.col("reason"), "all").alias("all"))
 
 
 @_query()
 def bootstrap_ci(s, d):
-    """Mean F1 of the layouts with a 95 % interval."""
+    """Mean F1 of the layouts with a 95 % interval of 2,000 replicates."""
     return assembly.bootstrap(layout_prf(s, d).select("page_id", F.col("f1").alias("score")))
 
 

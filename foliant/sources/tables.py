@@ -33,12 +33,14 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written once as a table in the shared checkpoint folder, with the lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and Spark runs on one machine,
+    as in tests, a temporary folder is used.
     """
     spark = df.sparkSession
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp()
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
