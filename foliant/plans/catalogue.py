@@ -528,8 +528,8 @@ def _merge(s: SparkSession, d: str, md: DataFrame) -> DataFrame:
 
 # One merge in SQL: blocks less furniture, usable tables by height, the k-th in place of the k-th table block.
 MERGE = f"""sz0 AS (SELECT page_id, width AS w, height AS h FROM page_image), el1 AS (SELECT el.*, coalesce(w, 1400) AS w, coalesce(h, 1980) AS h FROM el LEFT JOIN sz0 USING (page_id)),
-ok AS (SELECT page_id, elem_idx, reason, raw FROM ve), us AS (SELECT el1.page_id, el1.elem_idx, ht.html, row_number() OVER (PARTITION BY el1.page_id ORDER BY coalesce(y0, 0), el1.elem_idx) AS k FROM el1 JOIN ok USING (page_id, elem_idx) JOIN ht USING (page_id, elem_idx)
- WHERE el1.label = 'Table' AND coalesce(x1-x0, 0)/1000*w >= 8 AND coalesce(y1-y0, 0)/1000*h >= 8 AND reason IN ('', 'truncated', 'row_len_inconsistent', 'no_html_cells') AND trim(raw) <> ''),
+ok AS (SELECT page_id, elem_idx, reason FROM ve), us AS (SELECT el1.page_id, el1.elem_idx, ht.html, row_number() OVER (PARTITION BY el1.page_id ORDER BY coalesce(y0, 0), el1.elem_idx) AS k FROM el1 JOIN ok USING (page_id, elem_idx) JOIN ht USING (page_id, elem_idx)
+ WHERE el1.label = 'Table' AND coalesce(x1-x0, 0)/1000*w >= 8 AND coalesce(y1-y0, 0)/1000*h >= 8 AND reason IN ('', 'truncated', 'row_len_inconsistent', 'no_html_cells')),
 bq AS (SELECT page_id, list_filter(list_transform(string_split_regex(md, '\\n[ \\t]*\\n'), lambda x: {_strip('x')}), lambda x: length(x) > 0) AS bs FROM pt0),
 bk AS (SELECT page_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS pos, len(bs) AS n FROM bq),
 hd AS (SELECT page_id, {_plain("coalesce(text, '')")} AS h FROM el WHERE label IN ('Page-header', 'Page-footer')),

@@ -218,9 +218,10 @@ def test_files(spark, tmp_path):
     rows = spark.createDataFrame([("a", "# A\n\nb"), ("b", "")], "name string, value string")
     diagnostics.write_files(rows, "name", "value", str(tmp_path / "md"))
     assert {(r.name, r.value) for r in diagnostics.read_files(spark, str(tmp_path / "md")).collect()} >= {("a", "# A\n\nb")}
-    (tmp_path / "x.png").write_bytes(b"1")
-    (tmp_path / "x.txt").write_bytes(b"1")
-    assert [r.length for r in diagnostics.images(spark, str(tmp_path)).collect()] == [1]
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "x.png").write_bytes(b"1")
+    (tmp_path / "images" / "x.txt").write_bytes(b"1")
+    assert [r.length for r in diagnostics.images(spark, str(tmp_path / "images")).collect()] == [1]
     names = spark.createDataFrame([("/a/b.c.png",), ("d",)], "p string")
     assert [r.s for r in names.select(diagnostics.stem(F.col("p")).alias("s")).collect()] == ["b.c", "d"]
 
