@@ -194,7 +194,7 @@ def test_tree_match(a, b):
 # 4 truncation
 
 
-@pytest.mark.parametrize("t,code", [("A whole sentence.", truncation.DONE), ("In the midd", truncation.CUT), ("It was dated 4.1.", truncation.CUT), ("One.\nTwo wh…", truncation.CUT), ("<ul><li>a.</li></ul>", truncation.DONE), ("<ul><li>a.</li><l", truncation.CUT), ("", truncation.DONE), ("One.\nRemarks", truncation.LINE)])
+@pytest.mark.parametrize("t,code", [("A whole sentence.", truncation.DONE), ("In the midd", truncation.CUT), ("It was dated 4.1.", truncation.CUT), ("One.\nTwo wh…", truncation.CUT), ("<ul><li>a.</li></ul>", truncation.DONE), ("<ul><li>a.</li><l", truncation.CUT), ("", truncation.DONE), ("One.\nRemarks", truncation.LINE), ("One.\n" + "word " * 30, truncation.LINE)])
 def test_ending(t, code):
     assert truncation.ending(t)[0] == code
 
@@ -214,6 +214,15 @@ def test_truncation(spark):
     assert truncation.truncated(empty(spark)).count() == 0
 
 
+def test_limits_decide_endings():
+    """A form that piles up at limits is cut, the same form elsewhere whole; without limits the form alone speaks."""
+    n = [("documents", True, "cut", "one line", 50), ("documents", True, "row", "cells", 50), ("documents", True, "done", "mark", 3), ("documents", False, "done", "mark", 5000), ("documents", False, "row", "cells", 300), ("documents", False, "cut", "one line", 40)]
+    p = truncation.chances(n)
+    assert p["documents", True, "cells"] > 0.5 > p["documents", False, "cells"] and p["documents", False, "one line"] > 0.5 > p["documents", True, "mark"]
+    alone = truncation.chances([x for x in n if not x[1]])
+    assert alone["documents", False, "cells"] < 0.5 < alone["documents", False, "one line"]
+
+
 def test_hot_cut_copies(spark):
     r = random.Random(13)
     cut = text(r, 3) + "\nHowever, the contractor clarifies the"
