@@ -216,7 +216,7 @@ def test_truncation(spark):
 
 def test_limits_decide_endings():
     """A form that piles up at limits is cut, the same form elsewhere whole; without limits the form alone speaks."""
-    n = [("documents", True, "cut", "one line", 50), ("documents", True, "row", "cells", 50), ("documents", True, "done", "mark", 3), ("documents", False, "done", "mark", 5000), ("documents", False, "row", "cells", 300), ("documents", False, "cut", "one line", 40)]
+    n = [("documents", True, "cut", "one line", 50), ("documents", True, "row", "cells", 10), ("documents", True, "done", "mark", 3), ("documents", False, "done", "mark", 5000), ("documents", False, "row", "cells", 300), ("documents", False, "cut", "one line", 40)]
     p = truncation.chances(n)
     assert p["documents", True, "cells"] > 0.5 > p["documents", False, "cells"] and p["documents", False, "one line"] > 0.5 > p["documents", True, "mark"]
     alone = truncation.chances([x for x in n if not x[1]])
