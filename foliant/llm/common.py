@@ -78,3 +78,18 @@ def codepoints(strings: list[str], gap: str = "\n") -> tuple[np.ndarray, np.ndar
     n = np.fromiter((len(s) + len(gap) for s in strings), dtype=np.int64, count=len(strings))
     cps = np.frombuffer((gap.join(strings) + gap).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     return cps, np.concatenate([[0], np.cumsum(n)])
+
+
+#: Rows of a small side that are sent to every task; a longer one is joined by parts.
+SMALL = 2_000
+
+
+def joined_with_small(big: DataFrame, small: DataFrame, key: str, salt: int = 16) -> DataFrame:
+    """``big`` joined with a side that has a row for each key: sent to every task if it has up to ``SMALL`` rows,
+    which are counted; else each key is spread over ``salt`` parts, so that a hot key is not one task.
+    """
+    if small.limit(SMALL + 1).count() <= SMALL:
+        return big.join(F.broadcast(small), key)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_part")
+    spread = big.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
+    return spread.join(small.withColumn("_part", parts), [key, "_part"]).drop("_part")

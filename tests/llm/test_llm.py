@@ -171,24 +171,54 @@ def test_table_skeleton():
 def test_clean_and_wrapper(spark):
     pages = [f"<h1>Site</h1><p>Menu | Home</p><h2>Report {i}</h2><p>Body {i}</p><ul><li>one {i}</li></ul>" for i in range(6)]
     got = {r.id: r for r in markup.clean_markup(rows(spark, pages)).collect()}
-    assert got[3].clean == "## Report 3\nBody 3\n- one 3" and got[3].n_template == 2
+    assert got[3].clean == "## Report 3\nBody 3\n- one 3" and got[3].n_content == 3
+    assert got[3].n_template == 8  # six elements (h1 p h2 p ul li) and two texts that all pages have
     assert markup.clean_markup(empty(spark)).count() == 0
 
 
-def brute_match(a, b):
+def test_template_that_one_page_lacks(spark):
+    pages = [(f"<p>Menu of the house</p>" if i % 4 else "") + f"<h2>Report {i}</h2><p>Body {i}</p>" for i in range(12)]
+    got = {r.id: r for r in markup.clean_markup(rows(spark, pages)).collect()}
+    assert all("Menu" not in r.clean and f"Body {i}" in r.clean for i, r in got.items())
+
+
+def test_many_sources_are_joined_by_parts(spark, monkeypatch):
+    from foliant.llm import common
+
+    monkeypatch.setattr(common, "SMALL", 0)
+    pages = [f"<h1>Site</h1><p>Body {i}</p>" for i in range(6)]
+    assert {r.clean for r in markup.clean_markup(rows(spark, pages)).collect()} == {f"Body {i}" for i in range(6)}
+
+
+def brute_match(a, b, x, y):
+    """Nodes in the largest matching of two subtrees, by trying every alignment of children."""
     from functools import lru_cache
 
+    ca, cb = ([[i for i, p in enumerate(t[1]) if p == n] for n in range(len(t[1]))] for t in (a, b))
+
     @lru_cache(None)
-    def best(i, j):
-        return 0 if i == len(a) or j == len(b) else max(best(i + 1, j), best(i, j + 1), (a[i] == b[j]) + best(i + 1, j + 1))
+    def node(i, j):
+        return 0 if a[0][i] != b[0][j] else 1 + row(i, j, 0, 0)
 
-    return best(0, 0)
+    @lru_cache(None)
+    def row(i, j, r, c):
+        if r == len(ca[i]) or c == len(cb[j]):
+            return 0
+        return max(row(i, j, r + 1, c), row(i, j, r, c + 1), node(ca[i][r], cb[j][c]) + row(i, j, r + 1, c + 1) if node(ca[i][r], cb[j][c]) else 0)
 
+    return node(x, y)
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["p", "li", "row"]), max_size=7), st.lists(st.sampled_from(["p", "li", "row"]), max_size=7))
+
+tree = st.lists(st.tuples(st.sampled_from("ab#"), st.integers(0, 99)), max_size=8).map(lambda ns: (["root"] + [t for t, _ in ns], [-1] + [p % (i + 1) for i, (_, p) in enumerate(ns)]))
+
+
+@settings(max_examples=100, deadline=None)
+@given(tree, tree)
 def test_tree_match(a, b):
-    assert len(markup.simple_tree_match(a, b)) == brute_match(tuple(a), tuple(b))
+    pairs = markup.simple_tree_match(*a, *b)
+    assert len(pairs) + 1 == brute_match(a, b, 0, 0)
+    at = dict(pairs) | {0: 0}
+    assert all(a[0][i] == b[0][j] and at[a[1][i]] == b[1][j] for i, j in pairs)
 
 
 # 4 truncation
