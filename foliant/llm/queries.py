@@ -53,8 +53,8 @@ def p2_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts and tables with markup, by markup language."""
-    docs = markup.clean_markup(_documents(spark, d))
-    cells = markup.clean_markup(_traces(spark, d, "html"), table=True)
+    docs = markup.residue(_documents(spark, d))
+    cells = markup.residue(_traces(spark, d, "html"), table=True)
     one = lambda df, tab: df.select(F.lit(tab).alias("tab"), "id", "idx", F.explode("kinds").alias("kind"))
     return _keys(one(docs, "documents").unionByName(one(cells, "layout")), "kind")
 

@@ -219,6 +219,11 @@ def test_tree_match(a, b):
     assert len(pairs) + 1 == brute_match(a, b, 0, 0)
     at = dict(pairs) | {0: 0}
     assert all(a[0][i] == b[0][j] and at[a[1][i]] == b[1][j] for i, j in pairs)
+    wide, markup.WIDE = markup.WIDE, 0
+    try:
+        assert markup.simple_tree_match(*a, *b) == pairs
+    finally:
+        markup.WIDE = wide
 
 
 # 4 truncation
