@@ -65,6 +65,14 @@ v ѵ ν . .
 w ԝ . . .
 x х . . .
 y у . . .
+Ä Ӓ . . .
+Ë Ё . . .
+Ï Ї Ϊ . .
+Ö Ӧ . . .
+ä ӓ . . .
+ë ё . . .
+ï ї ϊ . .
+ö ӧ . . .
 """
 # Katakana and the ideograph of the same look.
 KANA = "カ力 ニ二 ロ口 ハ八 エ工 タ夕 ト卜 チ千 ミ三 オ才 セ七 ー一"
