@@ -35,11 +35,16 @@ def empty(spark):
 # 1 scans
 
 
+#: Misread words from which the confusions of m and h are learned.
+MISREAD = ["The comrnittee", "It confirrns", "It rneasures", "the rnissing pages", "The barbour", "The worksbop", "The arcbive", "in tbe"]
+
+
 def scan_table(spark):
     r = random.Random(1)
     body = [text(r) for _ in range(300)]
     head = [("page_element", 5000 + i, 0, "s", "Page-header", f"Harbour Journal of Velmor {1960 + i % 40}") for i in range(60)]
     data = [("documents", i, -1, "s", None, t) for i, t in enumerate(body)]
+    data += [("documents", 1100 + i, -1, "s", None, f"{x}. {text(r, 4)}") for i, x in enumerate(MISREAD)]
     data += [
         ("documents", 1000, -1, "s", None, "The committee describes the draw-\nings in 1950.\n- 12 -\nHarbour Journal of Tamrin 1971\nThe archive lists the seed order in 1951."),
         ("documents", 1001, -1, "s", None, "The comrnittee describes tbe water levels in 1950."),
@@ -64,9 +69,9 @@ def test_scan_noise(spark):
 def test_hot_noisy_copies(spark):
     r = random.Random(14)
     hot = "The comrnittee describes tbe water levels in 1950."
-    texts = [text(r) for _ in range(300)] + [hot] * 150
+    texts = [text(r) for _ in range(300)] + [hot] * 150 + [f"{x}. {text(r, 4)}" for x in MISREAD]
     got = {x.id for x in scans.scan_noise(rows(spark, texts)).filter("kind = 'misread'").collect()}
-    assert got == set(range(300, 450))
+    assert got >= set(range(300, 450)) and not got & set(range(300))
 
 
 def test_paragraphs(spark):
@@ -76,7 +81,38 @@ def test_paragraphs(spark):
 
 
 def test_misreads():
-    assert scans.misreads("modern", "rnoclern") and not scans.misreads("modern", "modern") and not scans.misreads("the", "tho")
+    c = scans.Confusions([("m", "rn"), ("d", "cl"), ("e", "c")])
+    assert c.misreads("modern", "rnoclern") and not c.misreads("modern", "modern") and not c.misreads("the", "tho")
+    assert c.misreads("meeemmmdd", "rncccrnrnrnclcl") and c.skeleton("modern") == c.skeleton("rnoclern")
+
+
+def test_confusions_are_learned(spark):
+    r = random.Random(18)
+    words = ["".join(r.choices("abcdegilmnoprstu", k=r.randint(5, 8))) for _ in range(60)]
+    often = [(w, 400) for w in words]
+    read = [(w.replace("m", "rn", 1), 2) for w in words if "m" in w][:12] + [(w.replace("e", "c", 1), 3) for w in words if "e" in w][:12] + [(words[0][:-1] + "z", 1), ("é" + words[1][1:], 1)]
+    counted = spark.createDataFrame([("w", w, n) for w, n in often + read], "kind string, word string, n bigint")
+    got = set(scans.confusions(counted, dict(often), 40))
+    assert {("m", "rn"), ("e", "c")} <= got and not any(x[1] in ("z", "é") for x in got)
+
+
+def test_layout_decides(spark):
+    """The same line is a page number alone between paragraphs that go on, and body in a list of numbers."""
+    model = scans.Model({}, 1000, 8, {}, 10, {"p": 90, "P": 100, "t": 2, "T": 1000, "b": 1000, "H": 30}, [])
+    broken = ["A sentence that goes", "12", "on after the page."]
+    whole = ["Numbers:", "", "12", "", "A next paragraph."]
+    model.train([broken] * 50 + [["A sentence that goes", "on and on.", "And on."]] * 200)
+    assert scans.label_lines(broken, model, True) == ["B", "N", "B"]
+    cell = scans.layout_cells(broken)[1]
+    assert model.layout[2][cell] > model.layout[0][cell] and scans.layout_cells(whole)[1] != cell
+
+
+def test_very_long_lines(spark):
+    r = random.Random(19)
+    title = "Harbour Journal of Velmor " * 30
+    df = scan_table(spark).unionByName(spark.createDataFrame([("documents", 2000, -1, "s", None, f"{sentence(r)}\n{title}\n{sentence(r)} {'x' * 500}", None), ("documents", 2001, -1, "s", None, f"{sentence(r)}\n{' ' * 60}[ 12 ]{' ' * 60}\n{sentence(r)}", None)], ROWS))
+    got = {(x.id, x.kind) for x in scans.scan_noise(df).filter("id >= 2000").collect()}
+    assert (2001, "pageno") in got
 
 
 # 2 repetition
