@@ -9,21 +9,24 @@ sampling, whose share is right to within one document, with at most ``max_repeat
 from __future__ import annotations
 
 import base64
+import os
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from foliant.llm.common import map_batches, texts
+from foliant.llm.common import joined_with_small, map_batches, texts
 from foliant.sources.tables import checkpointed
 
 #: A public tokenizer's vocabulary; the path is a parameter everywhere.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public byte-level BPE pattern of words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Blocks of one source in the prefix sum: a source is never summed up in one task.
-BLOCKS = 4096
+#: Documents of a block of a source in the prefix sum, on average; a source is never summed up in one task.
+BLOCK_SIZE = 50_000
 
 _encoders: dict = {}
+_sent: dict[str, set[str]] = {}
 
 
 def encoder(path: str):
@@ -40,8 +43,14 @@ def encoder(path: str):
 def token_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str = TOKENIZER) -> DataFrame:
     """``(id, source, tokens)``: the size of every document in tokens; null text has none."""
 
+    spark = docs.sparkSession
+    if tokenizer not in _sent.setdefault(spark.sparkContext.applicationId, set()):
+        spark.sparkContext.addFile(tokenizer)  # executors need not have the file
+        _sent[spark.sparkContext.applicationId].add(tokenizer)
+    name = os.path.basename(tokenizer)
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(tokenizer)
+        enc = encoder(SparkFiles.get(name))
         n = [len(enc.encode_ordinary(t)) for t in texts(b, "text")]
         return pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(n, pa.int64())], ["id", "source", "tokens"])
 
@@ -75,7 +84,7 @@ def plan_of(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def systematic(rows: DataFrame, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
+def systematic(rows: DataFrame, seed: int = 7, blocks: int = 4096) -> DataFrame:
     """``rows (id, source, tokens, expected_copies)`` with ``copies``: the integer boundaries each row crosses.
 
     The prefix sum is taken in two steps, over the sums of the blocks of a source (``blocks`` rows at
@@ -95,20 +104,21 @@ def systematic(rows: DataFrame, seed: int = 7, blocks: int = BLOCKS) -> DataFram
     return r.withColumn("copies", (F.floor("at") - F.floor(last)).cast("int")).drop("block", "base", "at")
 
 
-def mixed(docs: DataFrame, targets: DataFrame, seed: int = 7, tokenizer: str = TOKENIZER, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, targets: DataFrame, seed: int = 7, tokenizer: str = TOKENIZER, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The selection ``(doc_id, source, copies, tokens)`` and the report of the shares reached.
 
     Tokens are counted once, into the checkpoint folder; texts are not shuffled. An empty table of
     documents gives an empty selection and a report in which every source is short.
     """
     sizes = checkpointed(token_sizes(docs, tokenizer=tokenizer))
-    plan = plan_of(sizes, targets)
-    rows = sizes.join(F.broadcast(plan.select("source", "expected_copies")), "source")  # a row for each source
+    plan = checkpointed(plan_of(sizes, targets))
+    blocks = blocks or max(64, -(-sizes.count() // BLOCK_SIZE))
+    rows = joined_with_small(sizes, plan.select("source", "expected_copies"), "source")
     chosen = systematic(rows, seed, blocks).filter("copies > 0").select(F.col("id").alias("doc_id"), "source", "copies", "tokens")
     got = chosen.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum(F.col("tokens") * F.col("copies")).alias("reached_tokens"))
     total = got.agg(F.sum("reached_tokens").alias("mix_tokens"))
     report = (
-        plan.join(F.broadcast(got), "source", "left")
+        plan.join(got, "source", "left")
         .join(F.broadcast(total))  # one row
         .select(
             "source", "target_share", "max_repeat", "docs", "have_tokens", "target_tokens", "expected_copies", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("reached_tokens", F.lit(0)).alias("reached_tokens"),
