@@ -43,7 +43,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def copies_marked(rows: DataFrame, share: float = 1e-5) -> DataFrame:
+def copies_marked(rows: DataFrame, share: float = 1e-4) -> DataFrame:
     """``rows (tab, id, idx, text, ...)`` with ``copy``: a further copy of a text that makes up at least ``share`` of them.
 
     For counting only. There are at most 1 / share such texts, so they are sent to every task; what is
