@@ -301,7 +301,7 @@ def latex_canonical(s, d):
     return _tr(s, d).filter("label = 'Formula'").select("page_id", "elem_idx", T.formula_key(F.col("raw")).alias("formula"))
 
 
-@_query()
+@_query(f"WITH f AS ({_SQL['latex_canonical']}), g AS (SELECT page_id, formula, count(*) AS n FROM f GROUP BY 1, 2) SELECT page_id, CAST(sum(n) AS BIGINT) AS formulas, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS matched FROM g GROUP BY 1")
 def formula_match(s, d):
     """Formulas of a page that are the same but for their writing, by the form they share."""
     f = latex_canonical(s, d).groupBy("page_id", "formula").agg(F.count("*").alias("n"))
@@ -586,6 +586,10 @@ def _run(mode: str):
 
 _query(f"WITH {EL}, {TR}, {TEXT} SELECT page_id, coalesce(md, '') AS md, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT page_id FROM el UNION SELECT page_id FROM page_image UNION SELECT page_id FROM tr) LEFT JOIN pt0 USING (page_id)")(_named := _run("page"))
 _SPARK["run_page"], _SQL["run_page"] = _SPARK.pop("<lambda>"), _SQL.pop("<lambda>")
+_ALL = "ap AS (SELECT DISTINCT page_id FROM el UNION SELECT page_id FROM page_image UNION SELECT page_id FROM tr)"
+_SQL["run_coarse_to_fine"] = f"WITH {EL}, {TR}, {CELLS}, {SPANS}, {HTML}, {MD}, {TEXT}, {_ALL} SELECT page_id, CASE WHEN page_id IN (SELECT page_id FROM el) THEN coalesce(md.md, '') ELSE coalesce(pt0.md, '') END AS md, CAST(NULL AS VARCHAR) AS error FROM ap LEFT JOIN md USING (page_id) LEFT JOIN pt0 USING (page_id)"
+_steps, _last = MERGE.replace("{place}", "true").rsplit("\nSELECT", 1)
+_SQL["run_hybrid_page"] = f"WITH {EL}, {TR}, {CELLS}, {SPANS}, {HTML}, {VAL}, {TEXT}, {_steps}, mg AS (SELECT{_last}), {_ALL} SELECT page_id, coalesce(mg.md, '') AS md, CAST(NULL AS VARCHAR) AS error FROM ap LEFT JOIN mg USING (page_id)"
 _SPARK |= {"run_coarse_to_fine": _run("coarse-to-fine"), "run_hybrid": _run("hybrid"), "run_hybrid_page": _run("hybrid-page")}
 
 
