@@ -4,8 +4,9 @@ The lines of a text are labelled by a hidden Markov model with the states runnin
 and, for blank lines, break. Emissions: a line's words under a header model (words of elements labelled
 Page-header) against a body model (words of all texts), whether it has the form of a page number, and its
 layout: blank lines before and after it, whether the line before ends a sentence, its length. Words and
-forms are counted over all rows in Spark; transitions and layout are fitted by Viterbi training on a bounded
-sample. The labels decide what leaves the text and where paragraphs join.
+forms are counted over all rows in Spark; transitions and layout are fitted by Viterbi training on all texts
+of more than one line, whose measured lines are kept as a table and read in each round. The labels decide what
+leaves the text and where paragraphs join.
 
 What a recogniser confuses is learned as well: rare words that differ from a frequent word in one place are
 counted by what stands there for what; what happens to many words, and to the right sign more than other
@@ -19,6 +20,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -264,8 +266,8 @@ class Model:
     """Lexicon, confusions, header model, layout and transitions: small, sent to every task in the function's closure."""
 
     RATIO, LEAST, RATE, HEAD_RATE = 40, 8, 2e-6, 1e-3
-    #: Texts of the sample on which transitions and layout are fitted, and rounds of fitting.
-    SAMPLE, ROUNDS = 1_000, 2
+    #: Rounds of fitting.
+    ROUNDS = 2
 
     def __init__(self, words: dict[str, int], total: int, least: int, head: dict[str, int], head_total: int, sums: dict[str, int], pairs: list[tuple[str, str]]) -> None:
         self.words, self.total, self.least = words, max(total, 1), least
@@ -308,11 +310,11 @@ class Model:
         self.most = max(max(0.0, *(move[i][j] - move[0][0] for i in range(3) for j in range(3))) + max(layout[j][c] - layout[0][c] for j in (1, 2) for c in range(48)), 0.0)
 
     @classmethod
-    def fit(cls, counted: DataFrame, rows: DataFrame) -> Model:
-        """The model of the counts of :func:`counts` of ``rows``.
+    def of(cls, counted: DataFrame) -> Model:
+        """The model of the counts of :func:`counts`, its transitions and layout not fitted yet.
 
         What reaches the driver is bounded: words with at least ``RATE`` of all words (1 / RATE of them at most),
-        header words with at least ``HEAD_RATE`` of all header words, confusions, and ``SAMPLE`` texts.
+        header words with at least ``HEAD_RATE`` of all header words, and confusions.
         """
         counted = checkpointed(counted)  # read three times
         sums = {r.kind: r.n for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # eight rows
@@ -323,32 +325,39 @@ class Model:
         w, h = kept[kept.kind == "w"], kept[kept.kind == "h"]
         words = dict(zip(w.word, map(int, w.n)))
         often = {x: n for x, n in words.items() if n >= max(20, 3 * least)}
-        model = cls(words, total, least, dict(zip(h.word, map(int, h.n))), head_total, sums, confusions(counted, often, cls.RATIO))
-        sample = rows.filter("tab = 'documents' and length(text) > 0").select("text", F.xxhash64("id").alias("h")).orderBy("h", "text").limit(cls.SAMPLE).collect()
-        model.train([canonical(r.text).split("\n") for r in sample])
-        return model
+        return cls(words, total, least, dict(zip(h.word, map(int, h.n))), head_total, sums, confusions(counted, often, cls.RATIO))
+
+    def fit(self, rows: DataFrame) -> None:
+        """Fit transitions and layout to the likeliest labels of all texts of :func:`measured`, and again to those they
+        give. Labels are counted where the lines lie; a round brings at most ``TALLIES`` sums to the driver."""
+        lines = rows.filter("size(cells) > 1").select("heads", "forms", "cells")
+        for _ in range(self.ROUNDS):
+            moves = Moves(self)
+
+            def run(b: pa.RecordBatch) -> pa.RecordBatch:
+                n = tally(zip(*(b.column(c).to_pylist() for c in ("heads", "forms", "cells"))), moves)
+                return pa.RecordBatch.from_arrays([pa.array(range(TALLIES), pa.int32()), pa.array(n, pa.int64())], ["what", "n"])
+
+            sums = map_batches(lines, run, "what int, n bigint").groupBy("what").agg(F.sum("n").alias("n")).collect()
+            if sums:
+                n = dict(sums)
+                self.refit([n[i] for i in range(TALLIES)])
 
     def train(self, texts_: list[list[str]]) -> None:
-        """Fit transitions and layout to the likeliest labels of a sample, and again to those they give."""
+        """:meth:`fit` on the driver, for documents that are given as lines."""
+        kept = [measured_lines(lines, self, True) for lines in texts_]
         for _ in range(self.ROUNDS if texts_ else 0):
-            moves = [[20 * math.exp(x) for x in row] for row in self.move]
-            cells = [[1.0] * 48 for _ in range(3)]
-            forms = body = 0
-            for lines in texts_:
-                states = [x for x in label_lines(lines, self, True) if x != BREAK]
-                before = 0
-                for x, cell, line in zip(states, layout_cells(lines), (x for x in lines if x.strip())):
-                    now = _STATES.index(x)
-                    if now == 0:
-                        body += 1
-                        forms += PAGE_NUMBER.match(line.strip()) is not None
-                    moves[before][now] += 1
-                    cells[now][cell] += 1
-                    before = now
-            alone = self.alone + self.number
-            self.number = -math.log((forms + 0.5) / (body + 500))
-            self.alone = alone - self.number
-            self.set_moves([[math.log(x / sum(row)) for x in row] for row in moves], [[math.log(x / sum(row)) for x in row] for row in cells])
+            self.refit(tally(kept, Moves(self)))
+
+    def refit(self, n: list[int]) -> None:
+        """Set transitions, layout and the weight of a page number's form from the sums of :func:`tally`."""
+        moves = [[20 * math.exp(x) + n[3 * i + j] for j, x in enumerate(row)] for i, row in enumerate(self.move)]
+        cells = [[1.0 + x for x in n[9 + 48 * j : 57 + 48 * j]] for j in range(3)]
+        body, forms = n[-2:]
+        alone = self.alone + self.number
+        self.number = -math.log((forms + 0.5) / (body + 500))
+        self.alone = alone - self.number
+        self.set_moves([[math.log(x / sum(row)) for x in row] for row in moves], [[math.log(x / sum(row)) for x in row] for row in cells])
 
     def right(self, word: str) -> str | None:
         """The word that ``word`` is a misreading of, or None."""
@@ -397,53 +406,117 @@ class Model:
         return score if hits else score - 8.0 if at else -50.0
 
 
-def label_lines(lines: list[str], model: Model, document: bool) -> list[str]:
-    """States of the lines by the Viterbi algorithm; ``document``: a title as first line is a heading."""
-    emit = []
-    clear = True
-    first = document
+class Moves:
+    """What labelling measured lines needs of a model; far smaller than the model, as its words are not in it."""
+
+    def __init__(self, model: Model) -> None:
+        self.move, self.layout, self.most, self.number, self.alone, self.head_alone = model.move, model.layout, model.most, model.number, model.alone, model.head_alone
+
+
+def measured_lines(lines: list[str], model: Model, document: bool) -> tuple[list[float], list[bool], list[int]]:
+    """Of each line that is not blank the score as a header, whether it has the form of a page number, and its cell of
+    layout; ``document``: a title as first line is a heading. None of these changes as the model is fitted."""
+    heads, forms = [], []
     for x in lines:
-        s = x.strip()
-        if not s:
-            emit.append(None)
-            continue
-        h = -50.0 if first else model.header_score(s)
-        number = model.number if PAGE_NUMBER.match(s) else -50.0
-        first = False
-        clear = clear and h < -model.most and number < -model.most
-        emit.append((h, number))
-    if clear:  # no line gains by another state
-        return [BREAK if e is None else BODY for e in emit]
-    cells = iter(layout_cells(lines))
+        if s := x.strip():
+            heads.append(model.header_score(s) if heads or not document else -50.0)
+            forms.append(PAGE_NUMBER.match(s) is not None)
+    return heads, forms, layout_cells(lines)
+
+
+def label_measured(heads: list[float], forms: list[bool], cells: list[int], model: Model | Moves) -> list[str]:
+    """States of measured lines by the Viterbi algorithm."""
+    least = -model.most
+    if max(heads, default=-50.0) < least and -50.0 < least and (model.number < least or True not in forms):  # no line gains by another state
+        return [BODY] * len(heads)
     move, layout, begin = model.move, model.layout, model.move[0]
-    if sum(e is not None for e in emit) == 1:  # a line alone has no layout
+    if len(heads) == 1:  # a line alone has no layout
         layout, begin = [[0.0] * 48] * 3, [0.0, model.head_alone, model.alone]
     score = begin[:]
     trace: list = []
     began = False
-    for e in emit:
-        if e is None:
-            trace.append(None)  # blank lines keep the state before them
-            continue
-        cell = next(cells)
+    for head, form, cell in zip(heads, forms, cells):
+        e = (0.0, head, model.number if form else -50.0)
         new, came = [], []
         for j in range(3):
             i = max(range(3), key=lambda i: score[i] + move[i][j]) if began else 0
-            new.append((score[i] + move[i][j] if began else begin[j]) + layout[j][cell] + (0.0 if j == 0 else e[j - 1]))
+            new.append((score[i] + move[i][j] if began else begin[j]) + layout[j][cell] + e[j])
             came.append(i)
         score, began = new, True
         trace.append(came)
     state = max(range(3), key=score.__getitem__)
     out = []
     for came in reversed(trace):
-        if came is None:
-            out.append(BREAK)
-        else:
-            out.append(_STATES[state])
-            state = came[state]
+        out.append(_STATES[state])
+        state = came[state]
     return out[::-1]
 
 
+def with_breaks(lines: list[str], states: list[str]) -> list[str]:
+    """States of all lines, from those of the lines that are not blank."""
+    if len(lines) == len(states):
+        return states
+    of = iter(states)
+    return [next(of) if x.strip() else BREAK for x in lines]
+
+
+def label_lines(lines: list[str], model: Model, document: bool) -> list[str]:
+    """States of the lines of a text; ``document``: a title as first line is a heading."""
+    return with_breaks(lines, label_measured(*measured_lines(lines, model, document), model))
+
+
+#: Sums of a round of fitting: 3 x 3 transitions, 3 x 48 cells, lines of the body and those with a page number's form.
+TALLIES = 9 + 3 * 48 + 2
+
+
+def tally(texts_: Iterable[tuple[list[float], list[bool], list[int]]], model: Model | Moves) -> list[int]:
+    """How often the likeliest labels of measured texts have each transition and cell."""
+    out = [0] * TALLIES
+    for heads, forms, cells in texts_:
+        before = 0
+        for x, form, cell in zip(label_measured(heads, forms, cells, model), forms, cells):
+            now = _STATES.index(x)
+            out[3 * before + now] += 1
+            out[9 + 48 * now + cell] += 1
+            if now == 0:
+                out[-2] += 1
+                out[-1] += form
+            before = now
+    return out
+
+
+def measured(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows that are judged, with their canonical text (null: the text itself) and :func:`measured_lines`."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        plain, heads, forms, cells = [], [], [], []
+        for tab, t in zip(b.column("tab").to_pylist(), texts(b, "text")):
+            c = canonical(t)
+            plain.append(None if c == t else c)
+            for out, x in zip((heads, forms, cells), measured_lines(c.split("\n"), model, tab == "documents")):
+                out.append(x)
+        columns = [pa.array(plain, pa.string()), pa.array(heads, pa.list_(pa.float64())), pa.array(forms, pa.list_(pa.bool_())), pa.array(cells, pa.list_(pa.int8()))]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tab", "id", "idx", "text")), *columns], ["tab", "id", "idx", "text", "plain", "heads", "forms", "cells"])
+
+    d = _judge(rows).select("tab", F.col("id").cast("bigint").alias("id"), F.col("idx").cast("int").alias("idx"), "text")
+    return map_batches(d, run, "tab string, id bigint, idx int, text string, plain string, heads array<double>, forms array<boolean>, cells array<tinyint>")
+
+
+def fitted(rows: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of all rows, and those that are judged as :func:`measured` gives them."""
+    model = Model.of(counts(rows))
+    lines = checkpointed(measured(rows, model))  # read in each round and to judge
+    model.fit(lines)
+    return model, lines
+
+
+def _labelled(b: pa.RecordBatch, model: Model) -> Iterator[tuple[str, list[str], list[str]]]:
+    """Text, lines and their states of each row of :func:`measured`."""
+    for raw, plain, *lines in zip(*(b.column(c).to_pylist() for c in ("text", "plain", "heads", "forms", "cells"))):
+        own = (raw if plain is None else plain).split("\n")
+        yield raw, own, with_breaks(own, label_measured(*lines, model))
+
+
 class Reader:
     """Finds the noise of a text and repairs it; one for each task, with a memory of the words seen."""
 
@@ -457,13 +530,10 @@ class Reader:
                 return token.replace(w, v, 1)
         return None
 
-    def kinds(self, raw: str, document: bool) -> set[str]:
-        """Kinds of noise in a text."""
+    def kinds(self, raw: str, lines: list[str], states: list[str]) -> set[str]:
+        """Kinds of noise in a text, of which the canonical lines and their states are given."""
         out: set[str] = set()
-        text = canonical(raw)
-        lines = text.split("\n")
         raw_lines = raw.replace("\r\n", "\n").split("\n")
-        states = label_lines(lines, self.model, document)
         if HEADER in states:
             out.add("running")
         if NUMBER in states:
@@ -523,11 +593,10 @@ class Reader:
                 glue, gap = divided, False
         return "\n".join(out)
 
-    def repaired(self, raw: str, document: bool) -> str:
+    def repaired(self, raw: str, lines: list[str], states: list[str]) -> str:
         """Continuous paragraphs: lines joined, headers and page numbers out, misread words put right."""
-        lines = canonical(raw).split("\n")
         raw_lines = raw.replace("\r\n", "\n").split("\n")
-        body = self.body(raw_lines, lines, label_lines(lines, self.model, document))
+        body = self.body(raw_lines, lines, states)
         fixed = re.sub(r"\S+", lambda m: self.right(m[0]) or m[0], body)
         return "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\n+", fixed) if p.strip())
 
@@ -542,30 +611,28 @@ def scan_noise(rows: DataFrame) -> DataFrame:
     Elements labelled Page-header train the header model; they, Page-footer and Title are not judged. Null
     and empty texts have no noise; a repeated row counts once.
     """
-    model = Model.fit(counts(rows), rows)
+    model, lines = fitted(rows)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         reader = Reader(model)
         at, kinds = [], []
-        for i, (tab, t) in enumerate(zip(b.column("tab").to_pylist(), texts(b, "text"))):
-            for k in reader.kinds(t, tab == "documents"):
+        for i, x in enumerate(_labelled(b, model)):
+            for k in reader.kinds(*x):
                 at.append(i)
                 kinds.append(k)
         pick = pa.array(at, pa.int32())
         return pa.RecordBatch.from_arrays([b.column(c).take(pick) for c in ("tab", "id", "idx")] + [pa.array(kinds, pa.string())], ["tab", "id", "idx", "kind"])
 
-    d = _judge(rows).select("tab", F.col("id").cast("bigint").alias("id"), F.col("idx").cast("int").alias("idx"), "text")
-    return map_batches(d, run, "tab string, id bigint, idx int, kind string").distinct()
+    return map_batches(lines, run, "tab string, id bigint, idx int, kind string").distinct()
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
     """``(tab, id, idx, text)``: the repaired text of the rows that are judged."""
-    model = Model.fit(counts(rows), rows)
+    model, lines = fitted(rows)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         reader = Reader(model)
-        out = [reader.repaired(t, tab == "documents") for tab, t in zip(b.column("tab").to_pylist(), texts(b, "text"))]
+        out = [reader.repaired(*x) for x in _labelled(b, model)]
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tab", "id", "idx")), pa.array(out, pa.string())], ["tab", "id", "idx", "text"])
 
-    d = _judge(rows).select("tab", F.col("id").cast("bigint").alias("id"), F.col("idx").cast("int").alias("idx"), "text")
-    return map_batches(d, run, "tab string, id bigint, idx int, text string")
+    return map_batches(lines, run, "tab string, id bigint, idx int, text string")

@@ -107,6 +107,17 @@ def test_layout_decides(spark):
     assert model.layout[2][cell] > model.layout[0][cell] and scans.layout_cells(whole)[1] != cell
 
 
+def test_layout_is_fitted_on_all_texts(spark):
+    r = random.Random(21)
+    texts = [f"{sentence(r)[:-1]}\n{i}\n{sentence(r)}" + "\n\nAnd on." * (i % 5) for i in range(1300)]  # more than a sample has
+    df = spark.createDataFrame([("documents", i, -1, "s", None, t, "en") for i, t in enumerate(texts)], ROWS)
+    got, lines = scans.fitted(df)
+    want = scans.Model.of(scans.counts(df))
+    want.train([t.split("\n") for t in texts])
+    assert got.move == want.move and got.layout == want.layout and got.number == want.number
+    assert lines.count() == 1300 and want.move != scans.Model.of(scans.counts(df)).move
+
+
 def test_very_long_lines(spark):
     r = random.Random(19)
     title = "Harbour Journal of Velmor " * 30
