@@ -229,6 +229,37 @@ def test_template_that_one_page_lacks(spark):
     assert all("Menu" not in r.clean and f"Body {i}" in r.clean for i, r in got.items())
 
 
+@pytest.mark.parametrize(
+    "page,clean",
+    [("# Report {0}\n\nMenu of the house\n\n## Part {0}\n\nBody {0}", "# Report {0}\n## Part {0}\nBody {0}"),
+     ("## Terms\n\nBody {0} **of** it {0}\n\n```\nmake {0}\n```", "Body {0} it {0}\n```\nmake {0}\n```"),
+     ("\\section{{Report {0}}}\n\\begin{{itemize}}\n\\item one {0}\n\\end{{itemize}}\n\\subsection{{Terms}}\nBody {0}", "# Report {0}\n- one {0}\nBody {0}"),
+     ("== Terms ==\n\n[[Menu]]\n\n== Report {0} ==\n\nBody {0}", "# Report {0}\nBody {0}"),
+     ("<!-- scan import -->\n<p>Menu</p><p>Body {0}<br>End {0}</p>", "Body {0}\nEnd {0}")],
+)
+def test_template_is_text_not_signs(spark, page, clean):
+    """What all pages have leaves as a whole, and the signs of what varies stay."""
+    got = {r.id: r.clean for r in markup.clean_markup(rows(spark, [page.format(i) for i in range(6)])).collect()}
+    assert got == {i: clean.format(i) for i in range(6)}
+
+
+@pytest.mark.parametrize(
+    "t,clean",
+    [("== A ==\nb\n=== C ===\n* d\n# e", "# A\nb\n## C\n- d\n- e"), ("<h2>A</h2><p>b [[c|d]]</p>", "## A\nb d"), ("\\section{A}\n[[b]]", "# A\nb"),
+     ("\\emph{a}\n\\begin{verbatim}\nif x:\n    \\item y\n\\end{verbatim}", "a\n```\nif x:\n    \\item y\n```")],
+)
+def test_headings_and_code_stay(t, clean):
+    assert markup.render(*markup.nodes_of(t, markup.kinds_of(t))) == clean
+
+
+def test_languages_need_no_wrapper(spark, monkeypatch):
+    """A construct counts wherever it stands, so p3_found does no work of alignment."""
+    monkeypatch.setattr(markup, "aligned", None)
+    pages = [f"<h1>Site</h1><p>Body {i}</p> $x_{i}$" for i in range(4)] + ["ordinary"]
+    assert {r.id: r.kinds for r in markup.residue(rows(spark, pages)).collect()} == {i: ["html", "latex"] for i in range(4)}
+    assert markup.residue(empty(spark)).count() == 0
+
+
 def test_many_sources_are_joined_by_parts(spark, monkeypatch):
     from foliant.llm import common
 
